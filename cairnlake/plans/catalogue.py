@@ -1,11 +1,526 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codec, hashing, text
+from ..operators import catalog, chunking, dedup, integrity, manifest, reclaim, replication, retention
+from ..operators import history as log
+from ..sources import packfile
+from ..streaming import history as stream
+from . import tables as t
+
+NOW, CUTOFF, WIDE_POLICY = "2000-06-01 00:00:00", "2001-10-15 00:00:00", retention.Policy(300, 0, 0, 0)
+PACK_TARGET, SHARDS, SCRUB_TARGET = 4096, 8, 65_536
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def at(time: str) -> Column:
+    return F.lit(time).cast("timestamp_ntz")
+
+
+# ---- SQL parts that several queries share -------------------------------------------------------------
+
+
+def _gfs_sql(policy: retention.Policy) -> str:
+    """Rows r (snapshot_id, ts, reason): reason null where nothing keeps the snapshot."""
+    ranks, cases = [], []
+    for name, unit, reason in retention.TIERS:
+        ranks.append(f"row_number() OVER (PARTITION BY date_trunc('{unit}', o_orderdate) ORDER BY o_orderdate DESC, o_orderkey) AS n_{name}, dense_rank() OVER (ORDER BY date_trunc('{unit}', o_orderdate) DESC) AS p_{name}")
+        cases.insert(0, f"WHEN n_{name} = 1 AND p_{name} <= {getattr(policy, name)} THEN '{reason}'")
+    return f"k AS (SELECT o_orderkey AS snapshot_id, o_orderdate AS ts, {', '.join(ranks)} FROM orders), r AS (SELECT snapshot_id, ts, CASE {' '.join(cases)} END AS reason FROM k)"
+
+
+_GFS, _WIDE = _gfs_sql(retention.Policy()), _gfs_sql(WIDE_POLICY)
+_LINES = """s AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS chunk, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal FROM documents),
+l AS (SELECT *, strlen(chunk) AS length, sha256(chunk) AS cid FROM s)"""
+_CHUNKS = f"""{_WIDE}, live AS (SELECT DISTINCT l_partkey AS storage_id FROM lineitem JOIN r ON r.snapshot_id = l_orderkey WHERE r.reason IS NOT NULL),
+u AS (SELECT l_partkey, max(l_shipdate) AS upload_time FROM lineitem GROUP BY l_partkey),
+c AS (SELECT p_partkey AS storage_id, p_brand AS pack_id, CAST(p_size AS BIGINT) AS length, upload_time,
+  CASE WHEN live.storage_id IS NOT NULL THEN 'live' WHEN upload_time <= TIMESTAMP '{CUTOFF}' THEN 'dead' ELSE 'grace' END AS status
+  FROM part JOIN u ON l_partkey = p_partkey LEFT JOIN live ON live.storage_id = p_partkey),
+p AS (SELECT pack_id, CAST(sum(length) AS BIGINT) AS total_bytes, CAST(coalesce(sum(length) FILTER (WHERE status = 'dead'), 0) AS BIGINT) AS dead_bytes,
+  count(*) FILTER (WHERE status = 'live') AS live_chunks, count(*) FILTER (WHERE status = 'dead') AS dead_chunks, count(*) FILTER (WHERE status = 'grace') AS grace_chunks FROM c GROUP BY pack_id),
+q AS (SELECT *, total_bytes > 0 AND dead_bytes / total_bytes > 0.4 AS repack FROM p)"""
+_INNER, _OUTER = (p.hex() for p in hashing.pads(t.KEY_META))
+_HEX = "lpad(right(hex({}), {}), {}, '0')"
+
+
+def _le(value: str, size: int) -> str:
+    """SQL for an integer's bytes, lowest first, as hex."""
+    digits = f"lpad(to_hex({value}), {2 * size}, '0')"
+    return " || ".join(f"substr({digits}, {2 * size - 1 - 2 * i}, 2)" for i in range(size))
+
+
+# ---- retention ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_GFS} SELECT snapshot_id, reason IS NOT NULL AS keep, coalesce(reason, '') AS reason FROM r")
+def gfs_retention(spark, sf):
+    return retention.gfs(t.snapshots(spark, sf)).select("snapshot_id", "keep", "reason")
+
+
+@query(f"WITH {_GFS} SELECT coalesce(reason, '') AS reason, count(*) AS snapshots FROM r GROUP BY 1")
+def gfs_tier_counts(spark, sf):
+    return retention.gfs(t.snapshots(spark, sf)).groupBy("reason").agg(F.count(F.lit(1)).alias("snapshots"))
+
+
+@query(f"""WITH {_GFS}, d AS (SELECT snapshot_id, reason, o_orderstatus = 'F' AS trashed, o_orderpriority = '1-URGENT' AS pinned,
+  CASE WHEN o_orderpriority = '2-HIGH' THEN o_orderdate + INTERVAL 400 DAY END AS retain_until,
+  CASE WHEN o_orderstatus = 'F' AND o_totalprice > 1000 THEN o_orderdate + INTERVAL 900 DAY END AS purge_after FROM r JOIN orders ON o_orderkey = snapshot_id)
+SELECT snapshot_id, CASE WHEN trashed THEN purge_after IS NULL OR purge_after > TIMESTAMP '{NOW}' WHEN pinned THEN true WHEN retain_until > TIMESTAMP '{NOW}' THEN true ELSE reason IS NOT NULL END AS keep,
+  CASE WHEN trashed AND (purge_after IS NULL OR purge_after > TIMESTAMP '{NOW}') THEN 'Recoverable trash' WHEN trashed THEN 'Trash recovery window expired' WHEN pinned THEN 'Pinned'
+  WHEN retain_until > TIMESTAMP '{NOW}' THEN 'Retain-until override' ELSE coalesce(reason, '') END AS reason FROM d""")
+def lifecycle_decisions(spark, sf):
+    classified = retention.with_lifecycle(retention.gfs(t.snapshots(spark, sf)), t.lifecycle(spark, sf))
+    return retention.decisions(classified, at(NOW)).select("snapshot_id", "keep", "reason")
+
+
+# ---- mark, sweep, compaction ----------------------------------------------------------------------------
+
+
+def _live(spark, sf):
+    return reclaim.live_set(t.references(spark, sf), retention.gfs(t.snapshots(spark, sf), WIDE_POLICY).filter("keep"))
+
+
+def _classified(spark, sf):
+    return reclaim.classify_chunks(t.chunks(spark, sf), _live(spark, sf), at(CUTOFF))
+
+
+@query(f"WITH {_CHUNKS} SELECT storage_id FROM live")
+def live_set(spark, sf):
+    return _live(spark, sf)
+
+
+@query(f"WITH {_CHUNKS} SELECT storage_id, pack_id, length FROM c WHERE status = 'dead'")
+def sweep_candidates(spark, sf):
+    return reclaim.sweep_candidates(t.chunks(spark, sf), _live(spark, sf), at(CUTOFF)).select("storage_id", "pack_id", "length")
+
+
+@query(f"WITH {_CHUNKS} SELECT * FROM q")
+def pack_dead_space(spark, sf):
+    return reclaim.pack_dead_space(_classified(spark, sf))
+
+
+@query(f"WITH {_CHUNKS} SELECT pack_id, dead_bytes, total_bytes - dead_bytes AS kept_bytes FROM q WHERE repack")
+def compaction_plan(spark, sf):
+    packs = reclaim.pack_dead_space(_classified(spark, sf)).filter("repack")
+    return packs.select("pack_id", "dead_bytes", (F.col("total_bytes") - F.col("dead_bytes")).alias("kept_bytes"))
+
+
+@query(f"WITH {_CHUNKS} SELECT storage_id, c.pack_id, length, status FROM c JOIN q ON q.pack_id = c.pack_id WHERE repack AND status <> 'dead'")
+def survivor_chunks(spark, sf):
+    rows = _classified(spark, sf)
+    return reclaim.survivors(rows, reclaim.pack_dead_space(rows)).select("storage_id", "pack_id", "length", "status")
+
+
+@query(f"""WITH {_CHUNKS} SELECT count(*) FILTER (WHERE status = 'dead') AS purged, count(*) FILTER (WHERE status <> 'dead') AS kept,
+  count(*) FILTER (WHERE status = 'grace' AND repack) AS lost_in_compat FROM c JOIN q ON q.pack_id = c.pack_id""")
+def gc_result(spark, sf):
+    rows = _classified(spark, sf)
+    packs = reclaim.pack_dead_space(rows)
+    count = lambda frame, label: frame.select(F.lit(label).alias("label"))
+    kept, old = reclaim.after_collection(rows, packs), reclaim.after_collection(rows, packs, compat=True)
+    counted = count(rows.filter("status = 'dead'"), "purged").union(count(kept, "kept")).union(count(old, "old"))
+    n = lambda label: F.sum((F.col("label") == label).cast("bigint"))
+    return counted.agg(n("purged").alias("purged"), n("kept").alias("kept"), (n("kept") - n("old")).alias("lost_in_compat"))
+
+
+@query(f"""WITH {_LINES}, o AS (SELECT cid, min(source) AS a, max(source) AS b, min(length) AS length FROM l GROUP BY cid),
+f AS (SELECT a AS source, count(*) AS n, sum(length) AS bytes FROM o WHERE a = b GROUP BY a)
+SELECT d.source AS snapshot_id, coalesce(n, 0) AS chunks_reclaimed, CAST(coalesce(bytes, 0) AS BIGINT) AS bytes_reclaimed FROM (SELECT DISTINCT source FROM documents) d LEFT JOIN f ON f.source = d.source""")
+def hard_delete_reclaim(spark, sf):
+    lines = t.lines(spark, sf)
+    refs = lines.select(F.col("source").alias("snapshot_id"), F.col("cid").alias("storage_id"))
+    return reclaim.reclaim_by_snapshot(refs, lines.groupBy(F.col("cid").alias("storage_id")).agg(F.min("length").alias("length")))
+
+
+@query(f"""WITH {_LINES}, e AS (SELECT source AS pack_id, cid, count(*) AS n, min(length) AS length FROM l GROUP BY 1, 2), k AS (SELECT cid, max(source) AS pack_id FROM l GROUP BY cid)
+SELECT e.pack_id, CAST(sum(length) AS BIGINT) AS stored_bytes, CAST(coalesce(sum(length) FILTER (WHERE k.pack_id <> e.pack_id), 0) AS BIGINT) AS dead_bytes FROM e JOIN k ON k.cid = e.cid GROUP BY e.pack_id""")
+def true_dead_bytes(spark, sf):
+    """Each source is a pack of its distinct lines; the index knows a line in the highest pack only."""
+    entries = t.lines(spark, sf).groupBy(F.col("source").alias("pack_id"), F.col("cid").alias("storage_id")).agg(F.min("length").alias("length"))
+    known = replication.recover_locations(entries.withColumn("offset", F.lit(0)))
+    return reclaim.true_dead_bytes(entries, known)
+
+
+# ---- content ids and dedup ------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(text) AS cid FROM documents")
+def content_ids(spark, sf):
+    return t.documents(spark, sf).select("doc_id", hashing.content_id(F.col("text")).alias("cid"))
+
+
+@query(f"""SELECT doc_id, sha256(unhex(sha256(unhex('{_OUTER}' || sha256(unhex('{_INNER}' || sha256(text))))))) AS storage_id FROM documents""")
+def storage_ids(spark, sf):
+    return t.documents(spark, sf).select("doc_id", hashing.storage_id(t.KEY_META, hashing.content_id(F.col("text"))).alias("storage_id"))
+
+
+@query(f"""WITH {_LINES}, n AS (SELECT doc_id, length, row_number() OVER (PARTITION BY cid ORDER BY doc_id, ordinal) AS n FROM l)
+SELECT doc_id, count(*) AS examined, count(*) FILTER (WHERE n = 1) AS new, count(*) FILTER (WHERE n > 1) AS reused, CAST(sum(length) AS BIGINT) AS bytes,
+  CAST(coalesce(sum(length) FILTER (WHERE n = 1), 0) AS BIGINT) AS stored_bytes FROM n GROUP BY doc_id""")
+def chunk_dedup_counts(spark, sf):
+    return dedup.dedup_counts(t.lines(spark, sf), ["doc_id"])
+
+
+@query(f"""WITH {_LINES}, f AS (SELECT cid, doc_id, ordinal, length, count(*) OVER (PARTITION BY cid) AS occurrences, row_number() OVER (PARTITION BY cid ORDER BY doc_id, ordinal) AS n FROM l)
+SELECT cid, doc_id, CAST(ordinal AS INT) AS ordinal, occurrences, CAST(length AS BIGINT) AS length FROM f WHERE n = 1""")
+def dedup_first_occurrence(spark, sf):
+    return dedup.first_occurrence(t.lines(spark, sf), ["doc_id", "ordinal"]).select("cid", "first.doc_id", "first.ordinal", "occurrences", "length")
+
+
+@query(f"""WITH {_LINES} SELECT cid, min(doc_id) AS doc_id, count(*) AS occurrences, CAST(min(length) AS BIGINT) AS length FROM l
+WHERE lang <> 'en' AND cid NOT IN (SELECT cid FROM l WHERE lang = 'en') GROUP BY cid""")
+def incremental_dedup(spark, sf):
+    """A backup of the documents that are not English into a repository that has the English ones."""
+    lines = t.lines(spark, sf)
+    fresh = dedup.new_chunks(lines.filter("lang <> 'en'"), lines.filter("lang = 'en'").select("cid").distinct(), ["doc_id", "ordinal"])
+    return fresh.select("cid", "first.doc_id", "occurrences", "length")
+
+
+@query(f"""WITH {_LINES}, e AS (SELECT source, cid, count(*) AS n, min(length) AS length FROM l GROUP BY 1, 2)
+SELECT source, CAST(sum(n) AS BIGINT) AS chunks, count(*) AS distinct_chunks, CAST(sum(n * length) AS BIGINT) AS total_bytes, CAST(sum(length) AS BIGINT) AS distinct_bytes FROM e GROUP BY source""")
+def dedup_ratio_by_source(spark, sf):
+    return dedup.dedup_ratio(t.lines(spark, sf), ["source"])
+
+
+@query(f"WITH {_LINES} SELECT doc_id, CAST(ordinal AS INT) AS ordinal, CAST(length AS BIGINT) AS length, CAST(coalesce(sum(length + 1) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM l")
+def chunk_offsets(spark, sf):
+    return chunking.chunk_offsets(t.lines(spark, sf), ["doc_id"], separator=1).select("doc_id", "ordinal", "length", "offset")
+
+
+@query(f"""WITH RECURSIVE {_LINES}, o AS (SELECT source, doc_id % {SHARDS} AS shard, doc_id, ordinal, length, row_number() OVER (PARTITION BY source, doc_id % {SHARDS} ORDER BY doc_id, ordinal) AS n FROM l),
+w AS (SELECT source, shard, doc_id, ordinal, n, CAST(0 AS BIGINT) AS pack, CAST(8 AS BIGINT) AS pack_offset, CAST(8 + 60 + length AS BIGINT) AS size FROM o WHERE n = 1 UNION ALL
+  SELECT o.source, o.shard, o.doc_id, o.ordinal, o.n, CASE WHEN w.size >= {PACK_TARGET} THEN w.pack + 1 ELSE w.pack END, CASE WHEN w.size >= {PACK_TARGET} THEN 8 ELSE w.size END,
+  CASE WHEN w.size >= {PACK_TARGET} THEN 8 ELSE w.size END + 60 + o.length FROM w JOIN o ON o.source = w.source AND o.shard = w.shard AND o.n = w.n + 1)
+SELECT source, shard, doc_id, CAST(ordinal AS INT) AS ordinal, pack, pack_offset FROM w""")
+def pack_assignment_exact(spark, sf):
+    """Every line in a pack; each source has SHARDS writers."""
+    lines = t.lines(spark, sf).select("source", (F.col("doc_id") % SHARDS).alias("shard"), "doc_id", "ordinal", "length")
+    return dedup.assign_packs(lines, ["source", "shard"], ["doc_id", "ordinal"], PACK_TARGET).drop("length")
+
+
+@query()
+def fastcdc_chunks(spark, sf):
+    files = t.documents(spark, sf).select(F.col("doc_id").alias("path"), F.encode("text", "utf-8").alias("content"))
+    return chunking.fastcdc(files, chunking.SMALL)
+
+
+@query()
+def aead_round_trip(spark, sf):
+    """Every text sealed under its own key: opened with the right data, with wrong further data, and after a change of the last byte."""
+    d = t.documents(spark, sf).withColumn("content", F.encode("text", "utf-8")).withColumn("cid", hashing.content_id(F.col("content")))
+    key, aad = hashing.chunk_key(t.KEY_DATA, F.col("cid")), F.unhex(hashing.storage_id(t.KEY_META, F.col("cid")))
+    d = d.withColumns({"key": key, "aad": aad}).withColumn("sealed", hashing.seal(F.col("content"), F.col("key"), F.col("aad")))
+    last = F.conv(F.hex(F.expr("substring(sealed, octet_length(sealed), 1)")), 16, 10).cast("int")
+    broken = F.concat(F.expr("substring(sealed, 1, octet_length(sealed) - 1)"), F.unhex(F.lpad(F.hex((255 - last).cast("bigint")), 2, "0")))
+    opened = lambda sealed, a: hashing.open_sealed(sealed, F.col("key"), a)
+    return d.select(
+        "doc_id", opened(F.col("sealed"), F.col("aad")).eqNullSafe(F.col("content")).alias("opens"), opened(F.col("sealed"), F.col("key")).isNull().alias("rejects_aad"),
+        opened(broken, F.col("aad")).isNull().alias("rejects_change"), F.sha2("sealed", 256).alias("sealed_sha256"),
+    )
+
+
+@query()
+def bloom_diagnostic(spark, sf):
+    """The filter of English texts' ids asked for all texts' ids: no false negative, few false positives."""
+    d = t.documents(spark, sf).select(hashing.content_id(F.col("text")).alias("cid"), (F.col("lang") == "en").alias("member"))
+    d = d.groupBy("cid").agg(F.max("member").alias("member"))
+    n = d.filter("member").count()
+    found = codec.might_contain(d, codec.bloom_filter(d.filter("member"), n), n)
+    return d.join(found, "cid").groupBy("member", "might_contain").agg(F.count(F.lit(1)).alias("ids"))
+
+
+# ---- manifests, restore, checks -------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, count(*) AS chunks, CAST(sum(strlen(text)) AS BIGINT) AS size, sha256(string_agg(sha256(text), ',' ORDER BY turn, sha256(text))) AS manifest_hash FROM conversations GROUP BY conv_id")
+def file_manifest(spark, sf):
+    files = manifest.file_manifest(t.turns(spark, sf), ["conv_id"])
+    return files.select("conv_id", "chunks", "size", F.sha2(F.array_join("storage_ids", ","), 256).alias("manifest_hash"))
+
+
+@query("SELECT source AS snapshot_id, count(*) AS total_files, CAST(sum(strlen(text)) AS BIGINT) AS total_bytes FROM documents GROUP BY source")
+def snapshot_totals(spark, sf):
+    return manifest.snapshot_totals(t.documents(spark, sf).select(F.col("source").alias("snapshot_id"), F.octet_length("text").alias("size")))
+
+
+_MERKLE = f"""{_LINES}, f AS (SELECT source, doc_id, source || '/' || doc_id AS path, string_agg(cid, '' ORDER BY ordinal) AS sids FROM l GROUP BY source, doc_id),
+h AS (SELECT f.source, f.path, f.doc_id, sha256(encode(path) || unhex(sids || sha256(d.text) || {_le('420', 4)} || {_le('f.doc_id * 60', 8)} || {_le('1000', 4)} || {_le('100', 4)})) AS hash FROM f JOIN documents d ON d.doc_id = f.doc_id)"""
+
+
+def _file_hashes(spark, sf):
+    d = t.documents(spark, sf).withColumn("path", F.concat_ws("/", "source", "doc_id"))
+    sids = F.transform(F.split("text", "\n", -1), lambda x: F.sha2(x.cast("binary"), 256))
+    fixed = lambda n: F.lit(n).cast("bigint")
+    value = hashing.merkle_file_hash(F.col("path"), sids, hashing.content_id(F.col("text")), fixed(420), F.col("doc_id") * 60, fixed(1000), fixed(100))
+    return d.select("doc_id", "source", "path", value.alias("hash"))
+
+
+@query(f"WITH {_MERKLE} SELECT doc_id, path, hash FROM h")
+def merkle_file_hash(spark, sf):
+    return _file_hashes(spark, sf).select("doc_id", "path", "hash")
+
+
+@query(f"""WITH {_MERKLE}, d AS (SELECT source AS path, sha256(encode(source) || unhex(string_agg(hash, '' ORDER BY path))) AS hash FROM h GROUP BY source)
+SELECT * FROM d UNION ALL SELECT '/' AS path, sha256(encode('/') || unhex(string_agg(hash, '' ORDER BY path))) AS hash FROM d""")
+def merkle_dir_hash(spark, sf):
+    files = _file_hashes(spark, sf).select(F.lit("all").alias("snapshot_id"), F.col("source").alias("dir"), "path", "hash")
+    dirs = files.select("snapshot_id", F.col("dir").alias("path")).distinct().withColumns({"parent_path": F.lit("/"), "depth": F.lit(1)})
+    root = spark.createDataFrame([("all", "/", None, 0)], "snapshot_id string, path string, parent_path string, depth int")
+    return manifest.merkle_tree(files, dirs.unionByName(root)).select("path", "hash")
+
+
+def _restored(spark, sf):
+    lines = t.lines(spark, sf).withColumnRenamed("cid", "storage_id")
+    store = lines.groupBy("storage_id").agg(F.min("chunk").alias("chunk"))
+    return integrity.reassemble(lines.select("doc_id", "source", "ordinal", "storage_id"), store, ["doc_id", "source"], "\n")
+
+
+@query("SELECT doc_id, sha256(text) AS content_sha256, len(string_split(text, chr(10))) AS chunks, CAST(0 AS BIGINT) AS missing FROM documents")
+def restore_reassembly(spark, sf):
+    return _restored(spark, sf).select("doc_id", F.sha2("content", 256).alias("content_sha256"), "chunks", "missing")
+
+
+@query("SELECT source, count(*) AS files, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS chunks, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS failed FROM documents GROUP BY source")
+def verify_counts(spark, sf):
+    files = t.documents(spark, sf).select("doc_id", "source", hashing.content_id(F.col("text")).alias("content_hash"), F.lit("").alias("symlink_target"))
+    return integrity.verify_counts(integrity.verify(files, _restored(spark, sf), ["doc_id", "source"]), ["source"])
+
+
+_DOCTOR = " UNION ALL ".join(f"SELECT '{code}' AS code, p_partkey AS resource FROM part WHERE {where}" for code, where in (
+    ("missing-reverse-mapping", "p_size = 13"), ("mapping-mismatch", "p_size IN (17, 18)"), ("unreadable-record", "p_size IN (18, 19)"),
+    ("record-decode", "p_size = 29"), ("storage-id-mismatch", "p_size = 23"),
+))
+
+
+@query(f"SELECT code, 'error' AS severity, CAST(resource AS VARCHAR) AS resource FROM ({_DOCTOR})")
+def doctor_issues(spark, sf):
+    """Index tables that are damaged for parts of certain sizes."""
+    part = t.load(spark, sf, "part").withColumn("sid", F.col("p_partkey").cast("string")).withColumn("cid", F.concat(F.lit("c"), "sid"))
+    chunks = part.select(F.col("sid").alias("storage_id"), F.col("p_brand").alias("pack_id"), F.col("p_partkey").alias("offset"))
+    reverse = part.filter("p_size <> 13").select(F.col("sid").alias("storage_id"), "cid")
+    forward = part.filter("p_size <> 18").select("cid", F.when(F.col("p_size") == 17, F.lit("other")).otherwise(F.col("sid")).alias("storage_id"))
+    entries = part.filter("p_size not in (18, 19)").select(F.col("p_brand").alias("pack_id"), F.col("p_partkey").alias("offset"), F.when(F.col("p_size") == 23, "other").when(F.col("p_size") != 29, F.col("sid")).alias("storage_id"))
+    return integrity.doctor(chunks, reverse, forward, entries).select("code", "severity", "resource")
+
+
+def _packs(spark, sf):
+    lines = t.lines(spark, sf).select("source", "doc_id", "ordinal", "length", F.col("cid").alias("storage_id"), F.encode("chunk", "utf-8").alias("content"))
+    packed = dedup.assign_packs(lines, ["source"], ["doc_id", "ordinal"], SCRUB_TARGET)
+    return packfile.build_packs(packed, ["source", "pack"], ["doc_id", "ordinal"])
+
+
+@query()
+def pack_entries(spark, sf):
+    """All lines in packs, parsed again from the packs' bytes."""
+    return packfile.pack_entries(packfile.parse_packs(_packs(spark, sf)))
+
+
+@query()
+def scrub_issues(spark, sf):
+    """The packs of all lines, with a byte changed in the first pack of each source."""
+    damaged = F.when(F.col("pack") == 0, F.concat(F.expr("substring(content, 1, 99)"), F.unhex(F.lit("ff")), F.expr("substring(content, 101)"))).otherwise(F.col("content"))
+    return integrity.scrub(packfile.parse_packs(_packs(spark, sf).withColumn("content", damaged)))
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT o_orderkey AS id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders),
+c AS (SELECT id AS snapshot_id, parent AS ancestor_id, 1 AS distance FROM o WHERE parent IS NOT NULL UNION ALL SELECT c.snapshot_id, o.parent, c.distance + 1 FROM c JOIN o ON o.id = c.ancestor_id WHERE o.parent IS NOT NULL)
+SELECT * FROM c""")
+def snapshot_parent_chain(spark, sf):
+    chain = dedup.previous_snapshots(t.snapshots(spark, sf), ["o_custkey"])
+    return manifest.parent_chain(chain.select("snapshot_id", F.col("previous_id").alias("parent_snapshot_id")))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders), r AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS sid FROM lineitem)
+SELECT o.id AS snapshot_id, o.prev AS previous_id, count(b.sid) AS shared, count(*) AS own FROM o JOIN r ON r.id = o.id LEFT JOIN r b ON b.id = o.prev AND b.sid = r.sid WHERE o.prev IS NOT NULL GROUP BY 1, 2""")
+def snapshot_overlap(spark, sf):
+    return dedup.snapshot_overlap(t.references(spark, sf), dedup.previous_snapshots(t.snapshots(spark, sf), ["o_custkey"]).filter("previous_id is not null"))
+
+
+# ---- replication and recovery ---------------------------------------------------------------------------
+
+
+def _plan(spark, sf):
+    source = t.load(spark, sf, "customer").select(F.col("c_custkey").alias("object_id"), F.col("c_mktsegment").alias("segment"), F.length("c_name").alias("size"))
+    return replication.plan(source, t.load(spark, sf, "orders").select(F.col("o_custkey").alias("object_id")))
+
+
+_PLAN = "SELECT c_custkey AS object_id, c_mktsegment AS segment, length(c_name) AS size, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'skip' ELSE 'copy' END AS action FROM customer"
+
+
+@query(f"SELECT object_id, action FROM ({_PLAN})")
+def replication_plan(spark, sf):
+    return _plan(spark, sf).select("object_id", "action")
+
+
+@query(f"SELECT segment, count(*) FILTER (WHERE action = 'copy') AS replicated, count(*) FILTER (WHERE action = 'skip') AS skipped, CAST(coalesce(sum(size) FILTER (WHERE action = 'copy'), 0) AS BIGINT) AS bytes FROM ({_PLAN}) GROUP BY segment")
+def replication_counts(spark, sf):
+    return replication.counts(_plan(spark, sf), ["segment"])
+
+
+@query("""SELECT storage_id, pack_id, "offset", length FROM (SELECT l_partkey AS storage_id, l_suppkey AS pack_id, l_orderkey AS "offset", CAST(l_quantity AS BIGINT) AS length,
+  row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey DESC, l_orderkey DESC, l_quantity DESC) AS n FROM lineitem) WHERE n = 1""")
+def recover_locations(spark, sf):
+    e = t.load(spark, sf, "lineitem").select(F.col("l_partkey").alias("storage_id"), F.col("l_suppkey").alias("pack_id"), F.col("l_orderkey").alias("offset"), F.col("l_quantity").cast("bigint").alias("length"))
+    return replication.recover_locations(e)
+
+
+@query("SELECT p_partkey AS storage_id, p_brand AS pack_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09)")
+def roll_back(spark, sf):
+    """The chunk index without the chunks of an interrupted backup, whose journal lists the returned parts."""
+    journal = t.load(spark, sf, "lineitem").filter("l_quantity > 49 and l_discount > 0.09").select(F.array("l_partkey").alias("storage_ids"))
+    chunks = t.load(spark, sf, "part").select(F.col("p_partkey").alias("storage_id"), F.col("p_brand").alias("pack_id"))
+    return replication.roll_back(chunks, journal)
+
+
+@query("SELECT s_suppkey AS pack_id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_tax > 0.07)")
+def orphan_packs(spark, sf):
+    chunks = t.load(spark, sf, "lineitem").filter("l_quantity > 49 and l_tax > 0.07").select(F.col("l_suppkey").alias("pack_id"))
+    return replication.orphan_packs(t.load(spark, sf, "supplier").select(F.col("s_suppkey").alias("pack_id")), chunks)
+
+
+# ---- history and catalogue ------------------------------------------------------------------------------
+
+_HISTORY = "SELECT ts AS completed_at, event_id AS seq, event_type AS operation, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status, CAST(round(value * 1000) AS BIGINT) AS duration_ns FROM events"
+
+
+@query(f"SELECT completed_at, seq, operation, status FROM ({_HISTORY}) ORDER BY completed_at DESC, seq DESC LIMIT 50")
+def history_newest(spark, sf):
+    return log.newest(t.history(spark, sf)).select("completed_at", "seq", "operation", "status")
+
+
+@query(f"SELECT count(*) FILTER (WHERE completed_at < TIMESTAMP '2024-01-15') AS removed, count(*) FILTER (WHERE completed_at >= TIMESTAMP '2024-01-15') AS kept FROM ({_HISTORY})")
+def history_prune(spark, sf):
+    return log.prune_count(t.history(spark, sf), at("2024-01-15 00:00:00"))
+
+
+@query(f"SELECT operation, status, count(*) AS runs, min(completed_at) AS first_at, max(completed_at) AS last_at, CAST(sum(duration_ns) AS BIGINT) AS duration_ns FROM ({_HISTORY}) GROUP BY 1, 2")
+def history_by_operation(spark, sf):
+    return log.by_operation(t.history(spark, sf))
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, event_type AS operation, count(*) AS runs, CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS duration FROM events GROUP BY 1, 2")
+def stream_history_rollup(spark, sf):
+    schema = t.load(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    rows = events.select(F.col("ts").cast("timestamp").alias("completed_at"), F.col("event_type").alias("operation"), F.round(F.col("value") * 1000).cast("bigint").alias("duration"))
+    return stream.run_to_table(spark, stream.rollup(rows)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query()
+def stream_new_contents(spark, sf):
+    """Distinct contents of conversations' turns, taken in as a stream."""
+    schema = t.load(spark, sf, "conversations").schema
+    turns = spark.readStream.schema(schema).parquet(f"{sf}/conversations.parquet*").select(hashing.content_id(F.col("text")).alias("cid"))
+    return stream.run_to_table(spark, stream.new_contents(turns), "append").select("cid")
+
+
+@query("SELECT o_orderkey AS snapshot_id, o_orderdate AS ts, 'active' AS state, o_orderpriority = '1-URGENT' AS pinned FROM orders WHERE o_orderstatus <> 'F'")
+def catalog_listing(spark, sf):
+    return catalog.listing(catalog.details(t.snapshots(spark, sf), t.lifecycle(spark, sf))).select("snapshot_id", "ts", "state", "pinned")
+
+
+@query("""SELECT o_orderkey AS snapshot_id FROM orders WHERE contains(lower(concat_ws(' ', CAST(o_orderkey AS VARCHAR), 'ok', strftime(o_orderdate, '%Y-%m-%d %H:%M'),
+  CASE WHEN o_orderstatus = 'F' THEN 'trashed' ELSE 'active' END, o_orderpriority)), '2000-0') OR contains(lower(o_orderstatus), '2000-0')""")
+def catalog_search(spark, sf):
+    rows = catalog.details(t.snapshots(spark, sf), t.lifecycle(spark, sf))
+    hit = text.catalog_search(F.col("snapshot_id").cast("string"), F.col("status"), F.col("ts"), F.col("state"), F.array("o_orderpriority"), F.col("o_orderstatus"), " 2000-0 ")
+    return rows.filter(hit).select("snapshot_id")
+
+
+# ---- scalar functions -----------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, CASE WHEN p_brand = upper(p_brand) THEN p_brand ELSE p_brand END || '|' || p_type AS labels FROM part")
+def label_normalise(spark, sf):
+    labels = text.label_normalise(F.array(F.concat(F.lit(" "), "p_brand"), F.upper("p_brand"), F.lit("  "), F.col("p_type"), F.lower("p_brand"), F.lower("p_type")))
+    return t.load(spark, sf, "part").select("p_partkey", F.array_join(labels, "|").alias("labels"))
+
+
+@query("SELECT p_partkey, CASE WHEN len(x) = 0 THEN 'DAILY' ELSE array_to_string(x, '|') END AS tags FROM (SELECT p_partkey, list_filter(list_transform(string_split(replace(p_name, ' ', ' , '), ','), lambda v: trim(v)), lambda v: v <> '') AS x FROM part)")
+def tag_split(spark, sf):
+    return t.load(spark, sf, "part").select("p_partkey", F.array_join(text.tag_split(F.regexp_replace("p_name", " ", " , ")), "|").alias("tags"))
+
+
+@query("SELECT p_partkey FROM part WHERE lower(p_type) LIKE '%s%a%d%'")
+def fuzzy_path_match(spark, sf):
+    return t.load(spark, sf, "part").filter(text.fuzzy_match(F.col("p_type"), "SAD")).select("p_partkey")
+
+
+@query("SELECT p_partkey, sha256(p_brand) AS pack_id, p_partkey * 1000 AS \"offset\", CAST(p_size AS BIGINT) AS length, CAST(1700000000 + p_partkey AS BIGINT) AS upload_time_unix FROM part")
+def location_codec(spark, sf):
+    """Chunk locations written as fixed records and read again."""
+    record = codec.encode_location(F.sha2("p_brand", 256), F.col("p_partkey") * 1000, F.col("p_size"), F.col("p_partkey") + 1_700_000_000)
+    return t.load(spark, sf, "part").select("p_partkey", codec.decode_location(record).alias("l")).select("p_partkey", "l.*")
+
+
+@query(f"""SELECT o_orderkey AS snapshot_id, CASE WHEN o_orderstatus <> 'F' THEN TIMESTAMP '{NOW}' END AS trashed_at,
+  CASE WHEN o_orderstatus <> 'F' THEN TIMESTAMP '{NOW}' + CASE WHEN o_orderpriority = '5-LOW' THEN INTERVAL 7 DAY ELSE INTERVAL 1 HOUR END END AS purge_after FROM orders""")
+def trash_times(spark, sf):
+    state = F.when(F.col("o_orderstatus") == "F", "trashed").otherwise("active")
+    start, purge = text.trash_times(state, F.lit(NOW).cast("timestamp"), F.when(F.col("o_orderpriority") == "5-LOW", 0).otherwise(3600))
+    return t.load(spark, sf, "orders").select(F.col("o_orderkey").alias("snapshot_id"), start.cast("timestamp_ntz").alias("trashed_at"), purge.cast("timestamp_ntz").alias("purge_after"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'Permission denied' WHEN 'click' THEN 'Snapshot was not found' WHEN 'view' THEN 'Repository data appears corrupted' WHEN 'signup' THEN 'Operation failed' END AS summary FROM events")
+def error_presentation(spark, sf):
+    message = F.when(F.col("event_type") == "error", "open x: Permission denied").when(F.col("event_type") == "click", "Snapshot not found: 12").when(F.col("event_type") == "view", "chunk hash mismatch").when(F.col("event_type") == "signup", "disk full")
+    return t.load(spark, sf, "events").select("event_id", text.present_error(message)[0].alias("summary"))
+
+
+@query("SELECT doc_id, CASE WHEN n >= 1048576 THEN printf('%.1f MiB', floor(n / 1048576 * 10 + 0.5) / 10) WHEN n >= 1024 AND floor(n / 1024 * 10 + 0.5) / 10 < 10 THEN printf('%.1f KiB', floor(n / 1024 * 10 + 0.5) / 10) WHEN n >= 1024 THEN printf('%.0f KiB', floor(n / 1024 * 10 + 0.5) / 10) ELSE n || ' B' END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
+def human_sizes(spark, sf):
+    return t.documents(spark, sf).select("doc_id", text.human_bytes(F.octet_length("text")).alias("size"))
+
+
+@query("SELECT p_partkey, NOT regexp_matches(path, '^/|(^|/)\\.\\.(/|$)') AND path <> '' AS safe FROM (SELECT p_partkey, CASE WHEN p_size < 10 THEN '../' || p_name WHEN p_size < 20 THEN '/' || p_name WHEN p_size < 30 THEN 'a/..b/' || p_name ELSE p_name END AS path FROM part)")
+def safe_paths(spark, sf):
+    path = F.expr("CASE WHEN p_size < 10 THEN '../' || p_name WHEN p_size < 20 THEN '/' || p_name WHEN p_size < 30 THEN 'a/..b/' || p_name ELSE p_name END")
+    return t.load(spark, sf, "part").select("p_partkey", text.safe_relative_path(path).alias("safe"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_size > 25")
+def malformed_keys(spark, sf):
+    """Ids of the wrong size are skipped by scans."""
+    key = F.when(F.col("p_size") > 25, F.unhex(F.sha2("p_name", 256))).otherwise(F.encode("p_name", "utf-8"))
+    return t.load(spark, sf, "part").withColumn("key", key).filter(codec.well_formed(F.col("key"))).select("p_partkey")
+
+
+@query("SELECT o_orderkey AS snapshot_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'auth-failed' WHEN '2-HIGH' THEN 'decode-error' ELSE 'ok' END AS status FROM orders")
+def snapshot_status(spark, sf):
+    """Manifests as encrypted envelopes, some under another key and some of an unknown format, and how they read."""
+    o = t.load(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("snapshot_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderpriority").alias("priority"))
+    other = hashlib.sha256(b"another key").digest()
+    good = manifest.encode_envelope(o.filter("priority <> '1-URGENT'"), t.KEY_META).join(o.select("snapshot_id", "priority"), "snapshot_id")
+    good = good.withColumn("format", F.when(F.col("priority") == "2-HIGH", "v9").otherwise(F.col("format"))).drop("priority")
+    envelopes = good.unionByName(manifest.encode_envelope(o.filter("priority = '1-URGENT'"), other))
+    return manifest.decode_envelope(envelopes, t.KEY_META).select(F.col("snapshot_id").cast("bigint").alias("snapshot_id"), "status")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
