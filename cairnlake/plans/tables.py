@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import content_id, subkeys
 from ..operators.chunking import line_chunks
+from ..session import findable
 
 #: Keys of test data, derived from a fixed passphrase; never those of a real repository.
 KEY_DATA, KEY_META = subkeys("fixture passphrase", b"fixture salt 0123456789")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    findable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: For sessions that name no folder, as in tests on one machine.
@@ -17,10 +20,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def findable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine find the package wherever the driver was started; a cluster has it installed."""
+    root, known = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def session(name: str = "cairnlake", **settings: str) -> SparkSession:
     """A session with UTC times, adaptive execution and runtime Bloom filters."""
     conf = {
         "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     } | settings
-    return SparkSession.builder.appName(name).config(map=conf).getOrCreate()
+    spark = SparkSession.builder.appName(name).config(map=conf).getOrCreate()
+    findable(spark)
+    return spark
