@@ -9,11 +9,12 @@ class: pairs of one class are the index keys (k-token combinations, k = 2), whic
 some four tokens) and far rarer than the tokens. g hangs on the set's size band; a set is indexed for its own
 band and the next, which covers all partners.
 
-Equal sets are one class from the start. Of the documents under one key, the smallest (the leader) is
-verified against each of the others; components follow from the links. Then only pairs from one leader's
-documents that still are in different components are verified, less those whose distances to the leader
-exclude a link (Jaccard distance is a metric). Every pair that shares a key is thus linked through its
-component, excluded by a bound, or verified: no link is lost, and groups of copies are never expanded into all pairs.
+Equal sets are one class from the start. Documents under one key are candidates: all pairs of a small group; of
+a larger one each document with the smallest (the leader). Sizes, and the number of keys that a pair shares, exclude
+most pairs before any set is compared. Candidates are verified; components follow from the links. Then, of
+one leader's documents, pairs that still are in different components are verified too, less those whose distances
+to the leader exclude a link (Jaccard distance is a metric). Every pair that shares a key is thus linked through
+its component, excluded by a bound, or verified: no link is lost, and large groups of copies are never expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ WORDS, PERCENT = 5, 75
 #: A token is of the frequent class if it occurs in so many documents, as far as tasks see it LOCAL times or
 #: more; of these at most MOST_FREQUENT, the most frequent. The class bears on cost only, never on the result.
 FREQUENT, LOCAL, MOST_FREQUENT, BLOCK_TOKENS, MOST_WORDS = 16, 3, 500_000, 4_000_000, 1_000_000
+#: All pairs of a group of so many documents are candidates; a larger one goes by its leader.
+SMALL = 32
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -71,8 +74,8 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The keys of a set of sorted tokens."""
+def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, bool]:
+    """The keys of a set of sorted tokens, and whether they are its whole prefix of rare tokens."""
     n = len(tokens)
     p = prefix_length(n, percent)
     if len(frequent):
@@ -82,7 +85,7 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
     else:
         rare, often = tokens, tokens[:0]
     if len(rare) >= p:
-        return rare[:p]
+        return rare[:p], True
     ratio = math.log(100 / percent)
     band, keys = int(math.log(n) / ratio), [rare]
     for b in (band, band + 1):
@@ -95,7 +98,7 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
             same = kind[d:] == kind[:-d]
             x, y = head[:-d][same], head[d:][same]
             keys.append(_mixed(np.minimum(x, y) * _MULTIPLIERS[0] + _mixed(np.maximum(x, y)) + np.uint64(b)))
-    return np.concatenate(keys)
+    return np.concatenate(keys), False
 
 
 def _sets(docs: DataFrame, words: int, work: Workspace) -> DataFrame:
@@ -131,58 +134,127 @@ def _sets(docs: DataFrame, words: int, work: Workspace) -> DataFrame:
 
 
 def _keys(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
+    """(doc_id, n, keys): n is the set's size, negative where frequent tokens had to fill the prefix; keys are 8 bytes each."""
+
     def run(batches):
         often = frequent.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                keys = [index_keys(s, often, percent) if len(s := shingles(t, words)) else s for t in part.column("text").to_pylist()]
-                at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-                key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("doc_id").take(pa.array(at, pa.int64()))], ["key", "doc_id"])
+            sizes, keys = [], []
+            for text in batch.column("text").to_pylist():
+                s = shingles(text, words)
+                own, full = index_keys(s, often, percent) if len(s) else (s, True)
+                sizes.append(len(s) if full else -len(s))
+                keys.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], ["doc_id", "n", "keys"])
 
-    return docs.mapInArrow(run, "key long, doc_id long")
+    return docs.mapInArrow(run, "doc_id long, n int, keys binary")
 
 
-def _stars(rows: DataFrame) -> DataFrame:
-    """(a, b) = (leader, other) for the documents of each key; rows come sorted by key and doc_id, and groups stream through."""
+def _index(keys: DataFrame) -> DataFrame:
+    """A row (key, doc_id, n) for each key."""
 
     def run(batches):
-        last, leader = None, None
         for batch in batches:
-            key, doc = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                own = part.column("keys").to_pylist()
+                at = pa.array(np.repeat(np.arange(len(own)), [len(k) // 8 for k in own]), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(own), np.int64)), part.column("doc_id").take(at), part.column("n").take(at)], ["key", "doc_id", "n"])
+
+    return keys.mapInArrow(run, "key long, doc_id long, n int")
+
+
+def _meetings(rows: DataFrame) -> DataFrame:
+    """Documents that meet under a key: (a, b, na, nb, star), a <= b. Rows come sorted by key and doc_id; groups stream through.
+
+    Of a group of SMALL documents at most all pairs; of a larger one each document with the leader (the first), the leader itself included.
+    """
+    names = ["a", "b", "na", "nb", "star"]
+
+    def out(a, b, na, nb, star):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, na, nb)] + [pa.array(np.full(len(a), star))], names)
+
+    def run(batches):
+        held, leader = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)], None
+        for batch in _and_end(batches):
+            if batch is not None:
+                held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("key", "doc_id", "n"))]
+            key, doc, n = held
             if not len(key):
                 continue
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            new[0] = last is None or key[0] != last
-            first = np.where(new, np.arange(len(key)), -1)
-            first = np.maximum.accumulate(first)
-            lead = np.where(first >= 0, doc[np.maximum(first, 0)], leader if leader is not None else 0)
-            last, leader = key[-1], int(lead[-1])
-            pairs = np.unique(np.stack([lead, doc])[:, lead != doc], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    return rows.sortWithinPartitions("key", "doc_id").mapInArrow(run, "a long, b long")
+            # Groups that are complete; the last one may go on in the next batch.
+            end = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
+            if leader is not None:  # a large group goes on
+                more = int(np.searchsorted(key, leader[0], "right"))
+                if more:
+                    yield out(np.full(more, leader[1]), doc[:more], np.full(more, leader[2], np.int32), n[:more], True)
+                    key, doc, n = key[more:], doc[more:], n[more:]
+                    end = max(0, end - more)
+                if len(key):
+                    leader = None
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            sizes = np.diff(np.r_[starts, len(key)])
+            group = np.repeat(np.arange(len(starts)), sizes)
+            small = np.repeat(sizes <= SMALL, sizes)
+            done = np.arange(len(key)) < end
+            for d in range(1, SMALL):
+                hit = np.flatnonzero((group[d:] == group[:-d]) & small[d:] & done[d:])
+                if not len(hit):
+                    break
+                hit = hit[doc[hit] != doc[hit + d]]
+                yield out(doc[hit], doc[hit + d], n[hit], n[hit + d], False)
+            large = np.flatnonzero(~small)  # complete or not
+            if len(large):
+                first = starts[group[large]]
+                yield out(doc[first], doc[large], n[first], n[large], True)
+            if batch is not None and len(key) and not small[-1]:
+                leader, end = (key[-1], doc[starts[-1]], n[starts[-1]]), len(key)
+            held = [key[end:], doc[end:], n[end:]]
+
+    return rows.sortWithinPartitions("key", "doc_id").mapInArrow(run, "a long, b long, na int, nb int, star boolean")
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
+def _candidates(meetings: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) that sizes and counts of shared keys do not exclude; those of large groups with their leader stay all (star).
+
+    Where rare tokens fill both prefixes, the shared keys are the tokens shared within the prefixes, and at most
+    ceil(share * n) - 1 of the larger set can be shared beyond; keys in large groups are counted as if shared.
+    """
+    counts = meetings.filter("not star").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    stars = meetings.filter("star")
+    big = stars.groupBy(F.col("b").alias("doc_id")).agg(F.count(F.lit(1)).alias("big"))
+    x, y = F.abs("na"), F.abs("nb")
+    counts = counts.withColumns({"x": F.least(x, y).cast("long"), "y": F.greatest(x, y).cast("long")}).filter(f"100 * x >= {percent} * y")
+    for side in ("a", "b"):
+        counts = counts.join(big.withColumnsRenamed({"doc_id": side, "big": f"big_{side}"}), side, "left")
+    most = F.col("c") + F.least(F.coalesce("big_a", F.lit(0)), F.coalesce("big_b", F.lit(0)))
+    kept = counts.filter((F.col("na") < 0) | (F.col("nb") < 0) | (most >= _needed("x", "y", percent)))
+    both = kept.select("a", "b", F.lit(False).alias("star")).unionByName(stars.filter("a <> b").select("a", "b", "star"))
+    return both.groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(a, b, both, one): sizes of intersection and union."""
+    """pairs (a, b, star) with both and one: sizes of intersection and union."""
 
     def run(batches):
         for batch in batches:
             x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            both, one, u = [], [], {}
+            both, one = [], []
             for p, q in zip(x, y):
                 p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                 merged = np.concatenate([p, q])
                 merged.sort(kind="stable")
                 both.append(int((merged[1:] == merged[:-1]).sum()))
                 one.append(len(p) + len(q) - both[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(one, pa.int64())], ["a", "b", "both", "one"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "star")), pa.array(both, pa.int64()), pa.array(one, pa.int64())], ["a", "b", "star", "both", "one"])
 
     x, y = tokens.toDF("a", "x"), tokens.toDF("b", "y")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, both long, one long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "star", "x", "y").mapInArrow(run, "a long, b long, star boolean, both long, one long")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -206,17 +278,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     # What need not be indexed: copies but for each class's first, and empty texts. Ids that repeat may be both; then they are indexed.
     copies = named.join(first.filter("copies > 1"), "sig").filter("doc_id <> rep").select("doc_id").distinct()
     copies = copies.join(first.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti") if _repeats(rows) else copies
-    reps = docs.filter(F.col("doc_id").isNotNull()).join(copies, "doc_id", "left_anti")
-    keys = _keys(reps, frequent, words, percent)
-    pairs = work.write(_stars(keys.repartition(_partitions(spark, rows), "key")).distinct(), "pairs")
+    keys = _keys(docs.filter(F.col("doc_id").isNotNull()), frequent, words, percent).join(copies, "doc_id", "left_anti")
+    index = _index(keys).repartition(_partitions(spark, rows), "key")
+    meetings = work.write(_meetings(index), "meetings")
+    pairs = work.write(_candidates(meetings, percent), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    tokens = work.write(_token_sets(reps.join(ids, "doc_id", "left_semi"), words), "tokens")
+    tokens = work.write(_token_sets(docs.join(ids, "doc_id", "left_semi"), words), "tokens")
     near = F.col("both") * 100 >= F.col("one") * percent
-    stars = work.write(_verified(pairs, tokens), "stars")
-    roots = connected_components(stars.filter(near), work, "stars")
-    more = work.write(_verified(work.write(_open_pairs(stars, roots, percent), "open"), tokens), "more")
-    work.drop("tokens")
-    links = work.write(stars.filter(near).select("a", "b").union(more.filter(near).select("a", "b")), "links")
+    first_links = work.write(_verified(pairs, tokens), "first")
+    roots = connected_components(first_links.filter(near), work, "first")
+    more = work.write(_verified(work.write(_open_pairs(meetings, first_links, roots, percent), "open"), tokens), "more")
+    work.drop("tokens", "meetings")
+    links = work.write(first_links.filter(near).select("a", "b").union(more.filter(near).select("a", "b")), "links")
     roots = connected_components(links, work, "links").toDF("rep", "root")
     classes = first.select("sig", "rep").join(roots, "rep", "left").select("sig", F.coalesce("root", "rep").alias("root"))
     out = rows.join(classes, "sig", "left")
@@ -242,18 +315,35 @@ def _token_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, tokens binary")
 
 
-def _open_pairs(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs under one leader that still are in different components and that no bound excludes: (a, b), a < b."""
+def _open_pairs(meetings: DataFrame, first_links: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs under one leader that still are in different components and that no bound excludes: (a, b), a < b.
+
+    A pair that shares a key of a small group has been judged already. So where rare tokens fill both prefixes, the
+    keys that a pair shares are all of large groups, and each of the two has as many of these as the sizes ask for.
+    """
     reach = 1 - percent / 100 + 1e-9
-    own = stars.select("a").distinct().select("a", F.col("a").alias("b"), F.lit(0.0).alias("d"))
-    members = stars.select("a", "b", (1 - F.col("both") / F.col("one")).alias("d")).union(own)
-    members = members.join(roots.toDF("b", "root"), "b", "left").select("a", "b", "d", F.coalesce("root", "b").alias("root"))
-    groups = members.groupBy("a", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = groups.groupBy("a").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("components"))
-    members = members.join(largest.filter("components > 1"), "a")
-    rest = members.filter("root <> largest and a <> b").select("a", F.col("b").alias("b1"), F.col("d").alias("d1"), F.col("root").alias("root1"))
-    both = rest.join(members.filter("a <> b"), "a").filter((F.col("root1") != F.col("root")) & (F.abs(F.col("d1") - F.col("d")) <= reach))
-    return both.select(F.least("b1", "b").alias("a"), F.greatest("b1", "b").alias("b")).distinct()
+    stars = meetings.filter("star")
+    size = F.when(F.min("nb") == F.max("nb"), F.min("nb")).otherwise(-F.abs(F.min("nb")))  # ids that repeat with other texts: no bound
+    docs = stars.groupBy("b").agg(size.alias("n"), (F.min("nb") == F.max("nb")).alias("one_size"), F.count(F.lit(1)).alias("big"))
+    distance = first_links.groupBy("a", "b").agg(F.min(1 - F.col("both") / F.col("one")).alias("d"))
+    members = stars.select("a", "b").distinct().join(distance, ["a", "b"], "left").withColumn("d", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("d")))
+    members = members.join(docs, "b").join(roots.toDF("b", "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    groups = members.groupBy("a", "root").agg(F.count(F.lit(1)).alias("k"))
+    largest = groups.groupBy("a").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count(F.lit(1)).alias("components"))
+    members = members.join(largest.filter("components > 1"), "a").filter("a <> b")
+    mine = ["d", "root", "n", "one_size", "big"]
+    rest = members.filter("root <> largest").select("a", F.col("b").alias("b1"), *(F.col(c).alias(f"{c}1") for c in mine))
+    both = rest.join(members.select("a", "b", *mine), "a").filter("root1 <> root").filter(F.coalesce(F.abs(F.col("d1") - F.col("d")) <= reach, F.lit(True)))
+    both = both.withColumns({"x": F.least(F.abs("n1"), F.abs("n")).cast("long"), "y": F.greatest(F.abs("n1"), F.abs("n")).cast("long")})
+    sizes = ~F.col("one_size") | ~F.col("one_size1") | (100 * F.col("x") >= percent * F.col("y"))
+    enough = (F.col("n1") < 0) | (F.col("n") < 0) | (F.least("big1", "big") >= _needed("x", "y", percent))
+    return both.filter(sizes & enough).select(F.least("b1", "b").alias("a"), F.greatest("b1", "b").alias("b"), F.lit(False).alias("star")).distinct()
+
+
+def _needed(x: str, y: str, percent: int):
+    """How many keys two sets of x <= y rare-prefixed tokens share at least if they are similar: the least intersection, less what can be shared beyond the prefixes."""
+    ceil = lambda v, by: F.expr(f"cast(ceil(cast({v} as decimal(20,0)) / {by}) as long)")
+    return ceil(f"{percent} * ({x} + {y})", 100 + percent) - ceil(f"{percent} * {y}", 100) + 1
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
