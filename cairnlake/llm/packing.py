@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, text_or_empty
 from .tokens import word_ids
 
-SEQUENCE, END_ID, GROUP_PIECES, LOOSE = 4096, 1, 100_000, 0.98
+#: Texts are encoded so many at a time.
+SEQUENCE, END_ID, GROUP_PIECES, LOOSE, TEXTS = 4096, 1, 100_000, 0.98, 200
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
 
@@ -35,7 +36,7 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
         ids = word_ids(tokenizer)
         for batch in batches:
             at, out = [], []
-            for k, b in enumerate(ids.of_texts(batch.column("text").to_pylist())):
+            for k, b in enumerate(_few_at_a_time(ids, batch.column("text"))):
                 b += end
                 here = range((len(b) + step - 1) // step)
                 at += [k] * len(here)
@@ -48,6 +49,11 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
     return rows.mapInArrow(cut, PIECE)
 
 
+def _few_at_a_time(ids, texts):
+    for start in range(0, len(texts), TEXTS):
+        yield from ids.of_texts(texts.slice(start, TEXTS).to_pylist())
+
+
 def best_two_fit(lengths: list[int], room: int = SEQUENCE) -> list[list[int]]:
     """Bins of positions in `lengths` (each at most `room`)."""
     at: dict[int, list[int]] = {}

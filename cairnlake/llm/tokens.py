@@ -1,16 +1,23 @@
 """Token ids of whole texts by a public tokenizer file, with a memory of words.
 
-For a tokenizer whose pre-tokenizer never joins across ASCII white space and drops it, a text's ids are
-those of its blank-delimited words one after another. A worker keeps the ids of the words that it has seen;
-what it keeps is bounded, and forgetting changes no result.
+For a tokenizer whose pre-tokenizer never joins across ASCII white space and drops it, a text's ids are those of
+its blank-delimited words one after another, and a word's those of its pre-tokens. The library encodes pre-tokens that a worker
+has not seen, many at a time; as each ends with an end-of-word token, their ids are told apart. What a worker
+keeps is bounded, and forgetting changes no result.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+
 import numpy as np
 
-#: Words whose ids a worker keeps at once.
-MOST_WORDS = 600_000
+from .transducer import LATIN, character_class, latin_pattern
+
+#: Words and pre-tokens whose ids a worker keeps at once, and pre-tokens that are encoded at once.
+MOST_WORDS, MOST_PARTS, AT_ONCE = 1_000_000, 600_000, 2000
+LAST = chr(LATIN)
 _OPEN: dict[str, "WordIds"] = {}
 
 
@@ -20,23 +27,53 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.ends = np.array([t.endswith(suffix) for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])])
+        self.latin = latin_pattern(functools.partial(character_class, self.tokenizer))
+        self.parts: dict[str, bytes] = {}
 
-    def learn(self, words) -> None:
-        new = list(words)
-        if len(self) + len(new) > MOST_WORDS:
-            self.clear()
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-        self.update((w, np.asarray(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, encoded))
+    def _encode(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def _learn_parts(self, new: list[str]) -> None:
+        if len(self.parts) + len(new) > MOST_PARTS:
+            self.parts.clear()
+        for i in range(0, len(new), AT_ONCE):
+            some = new[i : i + AT_ONCE]
+            ids = self._encode(" ".join(some))
+            ends = (4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)).tolist()
+            assert len(ends) == len(some)
+            self.parts.update((p, ids[a:b]) for p, a, b in zip(some, [0, *ends], ends))
+
+    def learn(self, words: set[bytes], special: bool = True) -> None:
+        """Takes in words; special: some may hold an added token's string."""
+        cut, find = {}, self.latin.findall
+        for word in words:
+            text = word.decode("utf-8")
+            if (word.isascii() or max(text) < LAST) and not (special and any([s in text for s in self.special])):
+                cut[word] = find(text.lower())
+            else:
+                self[word] = self._encode(text)
+        needed = set().union(*cut.values())
+        new = list(needed.difference(self.parts))
+        if len(self.parts) + len(new) > MOST_PARTS:
+            new = list(needed)
+        self._learn_parts(new)
+        parts = self.parts
+        self.update({word: parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own]) for word, own in cut.items()})
 
     def of_texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts."""
+        """The ids of whole texts; few texts at a time keep the lists of words short."""
         split = [t.encode("utf-8").split() for t in texts]
-        self.learn({w for ws in split for w in ws if w not in self})
-        if any(w not in self for ws in split for w in ws[:1]):  # learn() forgot older words
-            self.learn({w for ws in split for w in ws if w not in self})
+        if len(self) > MOST_WORDS:
+            self.clear()
+        self.learn(set().union(*split).difference(self), any(s in t for t in texts for s in self.special))
         return [b"".join(map(self.__getitem__, ws)) for ws in split]
 
 

@@ -130,6 +130,18 @@ class Transducer:
         return total + self.step(state, word[-1] + 256)[1]
 
 
+def character_class(library, c: str) -> str:
+    """l letter, n number, s space, o other, as the library's own pattern has them."""
+    cut = lambda s: len(library.pre_tokenizer.pre_tokenize_str(s))
+    return "s" if cut(c) == 0 else "l" if cut(f"a{c}") == 1 else "n" if cut(c + c) == 2 else "o"
+
+
+def latin_pattern(kind) -> re.Pattern:
+    """The pre-tokens of lower-cased text below U+0130, where the normalizer only lower-cases, character by character."""
+    kinds = {k: "".join(re.escape(chr(i)) for i in range(LATIN) if kind(chr(i)) == k) for k in "lns"}
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['l']}]+|[{kinds['n']}]|[^{kinds['s']}{kinds['l']}{kinds['n']}]+")
+
+
 class TokenCounter(dict):
     """Blank-delimited word (bytes) -> number of its tokens; forgets when it holds too many."""
 
@@ -144,9 +156,7 @@ class TokenCounter(dict):
             raise ValueError("added tokens that are normalised or strip their surroundings are not supported")
         self.transducer = Transducer(Merges(spec["model"]))
         self.classes: dict[str, str] = {}
-        # Below U+0130 the normalizer only lower-cases, character by character; there one pattern has the classes.
-        kinds = {k: "".join(re.escape(chr(i)) for i in range(LATIN) if self._class(chr(i)) == k) for k in "lns"}
-        self.latin = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['l']}]+|[{kinds['n']}]|[^{kinds['s']}{kinds['l']}{kinds['n']}]+")
+        self.latin = latin_pattern(self._class)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > MOST_WORDS:
@@ -169,12 +179,10 @@ class TokenCounter(dict):
         return sum([self.transducer.count(p.encode("utf-8")) for p in found])
 
     def _class(self, c: str) -> str:
-        """l letter, n number, s space, o other, as the library's own pattern has them."""
         if c not in self.classes:
             if len(self.classes) > 200_000:
                 self.classes.clear()
-            cut = lambda s: len(self.library.pre_tokenizer.pre_tokenize_str(s))
-            self.classes[c] = "s" if cut(c) == 0 else "l" if cut(f"a{c}") == 1 else "n" if cut(c + c) == 2 else "o"
+            self.classes[c] = character_class(self.library, c)
         return self.classes[c]
 
     def _pre_tokens(self, text: str):
