@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,14 +37,19 @@ WORDS, PERCENT = 5, 75
 FREQUENT, LOCAL, MOST_FREQUENT, BLOCK_TOKENS, MOST_WORDS = 16, 3, 500_000, 4_000_000, 1_000_000
 #: All pairs of a group of so many documents are candidates; a larger one goes by its leader.
 SMALL = 32
-_MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+#: Documents of one leader meet in blocks of about so many.
+BLOCK = 1000
+#: One for each word of a shingle; any odd numbers will do.
+_MULTIPLIERS = [np.uint64(m | 1) for m in np.random.default_rng(1).integers(0, 2**64, 64, dtype=np.uint64)]
 
 
 class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
+    """Word -> the 8 bytes of its hash."""
+
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) > MOST_WORDS:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        self[word] = h = xxhash.xxh3_64_digest(word)
         return h
 
 
@@ -61,13 +67,14 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     split = text.encode("utf-8").lower().split()
     if not split:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, split), np.uint64, len(split))
+    h = np.frombuffer(b"".join(map(_HASHES.__getitem__, split)), np.uint64)
     k = min(words, len(h))
-    out = np.full(len(h) - k + 1, np.uint64(k))
-    for i in range(k):
-        out = out * _MULTIPLIERS[i % 5] + h[i : len(h) - k + 1 + i] * _MULTIPLIERS[(i + 1) % 5]
-        out ^= out >> np.uint64(29)
-    return np.unique(_mixed(out))
+    out = h[k - 1 :] * _MULTIPLIERS[k - 1] + np.uint64(k)
+    for i in range(k - 1):
+        out += h[i : len(h) - k + 1 + i] * _MULTIPLIERS[i]
+    out = _mixed(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -287,9 +294,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     near = F.col("both") * 100 >= F.col("one") * percent
     first_links = work.write(_verified(pairs, tokens), "first")
     roots = connected_components(first_links.filter(near), work, "first")
-    more = work.write(_verified(work.write(_open_pairs(meetings, first_links, roots, percent), "open"), tokens), "more")
+    members = work.write(_open_members(meetings, first_links, roots), "members")
+    asked = members.join(work.write(_open_documents(members, percent), "open"), ["a", "b"], "left_semi")
+    more = work.write(_open_links(asked.join(tokens.toDF("b", "tokens"), "b"), percent), "more")
     work.drop("tokens", "meetings")
-    links = work.write(first_links.filter(near).select("a", "b").union(more.filter(near).select("a", "b")), "links")
+    links = work.write(first_links.filter(near).select("a", "b").union(more), "links")
     roots = connected_components(links, work, "links").toDF("rep", "root")
     classes = first.select("sig", "rep").join(roots, "rep", "left").select("sig", F.coalesce("root", "rep").alias("root"))
     out = rows.join(classes, "sig", "left")
@@ -315,29 +324,93 @@ def _token_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, tokens binary")
 
 
-def _open_pairs(meetings: DataFrame, first_links: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs under one leader that still are in different components and that no bound excludes: (a, b), a < b.
-
-    A pair that shares a key of a small group has been judged already. So where rare tokens fill both prefixes, the
-    keys that a pair shares are all of large groups, and each of the two has as many of these as the sizes ask for.
-    """
-    reach = 1 - percent / 100 + 1e-9
+def _open_members(meetings: DataFrame, first_links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Documents of leaders' groups that hold several components, but the leaders (judged already): a, b, d (distance to the leader),
+    root, n, big (keys in large groups), rest (whether outside the group's largest component), and block (of so many blocks)."""
     stars = meetings.filter("star")
-    size = F.when(F.min("nb") == F.max("nb"), F.min("nb")).otherwise(-F.abs(F.min("nb")))  # ids that repeat with other texts: no bound
-    docs = stars.groupBy("b").agg(size.alias("n"), (F.min("nb") == F.max("nb")).alias("one_size"), F.count(F.lit(1)).alias("big"))
+    # A document whose id repeats with another text has no bound (n = 0).
+    size = F.when(F.min("nb") == F.max("nb"), F.min("nb")).otherwise(0)
+    docs = stars.groupBy("b").agg(size.alias("n"), F.count(F.lit(1)).alias("big"))
     distance = first_links.groupBy("a", "b").agg(F.min(1 - F.col("both") / F.col("one")).alias("d"))
     members = stars.select("a", "b").distinct().join(distance, ["a", "b"], "left").withColumn("d", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("d")))
     members = members.join(docs, "b").join(roots.toDF("b", "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     groups = members.groupBy("a", "root").agg(F.count(F.lit(1)).alias("k"))
-    largest = groups.groupBy("a").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count(F.lit(1)).alias("components"))
-    members = members.join(largest.filter("components > 1"), "a").filter("a <> b")
-    mine = ["d", "root", "n", "one_size", "big"]
-    rest = members.filter("root <> largest").select("a", F.col("b").alias("b1"), *(F.col(c).alias(f"{c}1") for c in mine))
-    both = rest.join(members.select("a", "b", *mine), "a").filter("root1 <> root").filter(F.coalesce(F.abs(F.col("d1") - F.col("d")) <= reach, F.lit(True)))
-    both = both.withColumns({"x": F.least(F.abs("n1"), F.abs("n")).cast("long"), "y": F.greatest(F.abs("n1"), F.abs("n")).cast("long")})
-    sizes = ~F.col("one_size") | ~F.col("one_size1") | (100 * F.col("x") >= percent * F.col("y"))
-    enough = (F.col("n1") < 0) | (F.col("n") < 0) | (F.least("big1", "big") >= _needed("x", "y", percent))
-    return both.filter(sizes & enough).select(F.least("b1", "b").alias("a"), F.greatest("b1", "b").alias("b"), F.lit(False).alias("star")).distinct()
+    largest = groups.groupBy("a").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count(F.lit(1)).alias("components"), F.sum("k").alias("size"))
+    members = members.join(largest.filter("components > 1"), "a").filter("a <> b").withColumn("rest", F.col("root") != F.col("largest"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    return members.select("a", "b", "d", "root", "n", "big", "rest", blocks.alias("blocks"), F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"))
+
+
+def _meet_in_blocks(members: DataFrame, fn, schema: str) -> DataFrame:
+    """fn(rest, members) for every block of a group's documents outside its largest component and every block of all of them."""
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left, right = members.toDF(*members.columns), members.toDF(*members.columns)  # columns of their own
+    left = left.filter("rest").withColumnRenamed("block", "x").withColumn("y", every)
+    right = right.withColumnRenamed("block", "y").withColumn("x", every)
+    return left.groupBy("a", "x", "y").cogroup(right.groupBy("a", "x", "y")).applyInPandas(fn, schema)
+
+
+def _open(one: pd.Series, many: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which of many rows may be linked with one, by component, sizes, distances to the leader, and shared keys.
+
+    A pair that shares a key of a small group has been judged already. So where rare tokens fill both prefixes, the
+    keys that a pair shares are all of large groups, and each of the two has as many of these as the sizes ask for.
+    """
+    n, sizes = abs(one.n), many["n"].abs().to_numpy().astype(np.int64)
+    x, y = np.minimum(n, sizes), np.maximum(n, sizes)
+    known = (x > 0) & (one.n > 0) & (many["n"].to_numpy() > 0)
+    needed = -(-percent * (x + y) // (100 + percent)) + (-percent * y // 100) + 1
+    gap = np.abs(many["d"].to_numpy(dtype=float) - (np.nan if one.d is None else one.d))
+    return (
+        (many["root"].to_numpy() != one.root) & ((x == 0) | (100 * x >= percent * y)) & ~(gap > 1 - percent / 100 + 1e-9)
+        & (~known | (np.minimum(one.big, many["big"].to_numpy()) >= needed))
+    )
+
+
+def _open_documents(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members that take part in any pair that no bound excludes."""
+
+    def run(rest: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
+        hit, own = np.zeros(len(many), bool), []
+        for one in rest.itertuples(index=False):
+            may = _open(one, many, percent)
+            hit |= may
+            if may.any():
+                own.append(one.b)
+        both = pd.Series(own + many["b"][hit].tolist(), dtype="int64").unique()
+        return pd.DataFrame({"a": (many if len(many) else rest)["a"].iloc[0], "b": both}) if len(both) else pd.DataFrame({"a": [], "b": []}).astype("int64")
+
+    return _meet_in_blocks(members, run, "a long, b long").distinct()
+
+
+def _open_links(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): one link from each document outside the largest component to each component that it is linked with. members have tokens."""
+
+    def run(rest: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(rest) and len(many):
+            sets = [np.frombuffer(t, np.uint64) for t in many["tokens"]]
+            lengths = np.array([len(x) for x in sets])
+            tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            for one in rest.itertuples(index=False):
+                may, own = _open(one, many, percent), np.frombuffer(one.tokens, np.uint64)
+                if not may.any():
+                    continue
+                low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+                spans = high - low
+                at = np.repeat(low - np.r_[0, np.cumsum(spans)[:-1]], spans) + np.arange(spans.sum())
+                both = np.bincount(owner[at], minlength=len(sets))
+                near = np.flatnonzero(may & (100 * both >= percent * (len(own) + lengths - both)))
+                seen = set()
+                for k in near:
+                    if (root := many["root"].iat[k]) not in seen:
+                        seen.add(root)
+                        found.append((one.b, many["b"].iat[k]))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return _meet_in_blocks(members, run, "a long, b long")
 
 
 def _needed(x: str, y: str, percent: int):
