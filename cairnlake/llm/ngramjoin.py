@@ -261,7 +261,8 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "star")), pa.array(both, pa.int64()), pa.array(one, pa.int64())], ["a", "b", "star", "both", "one"])
 
     x, y = tokens.toDF("a", "x"), tokens.toDF("b", "y")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "star", "x", "y").mapInArrow(run, "a long, b long, star boolean, both long, one long")
+    # Pairs grow with the corpus: they are never broadcast, at any size.
+    return pairs.hint("merge").join(x.hint("merge"), "a").hint("merge").join(y.hint("merge"), "b").select("a", "b", "star", "x", "y").mapInArrow(run, "a long, b long, star boolean, both long, one long")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -285,12 +286,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     # What need not be indexed: copies but for each class's first, and empty texts. Ids that repeat may be both; then they are indexed.
     copies = named.join(first.filter("copies > 1"), "sig").filter("doc_id <> rep").select("doc_id").distinct()
     copies = copies.join(first.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti") if _repeats(rows) else copies
-    keys = _keys(docs.filter(F.col("doc_id").isNotNull()), frequent, words, percent).join(copies, "doc_id", "left_anti")
+    keys = _keys(docs.filter(F.col("doc_id").isNotNull()), frequent, words, percent).hint("merge").join(copies.hint("merge"), "doc_id", "left_anti")
     index = _index(keys).repartition(_partitions(spark, rows), "key")
     meetings = work.write(_meetings(index), "meetings")
     pairs = work.write(_candidates(meetings, percent), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    tokens = work.write(_token_sets(docs.join(ids, "doc_id", "left_semi"), words), "tokens")
+    tokens = work.write(_token_sets(docs.hint("merge").join(ids.hint("merge"), "doc_id", "left_semi"), words), "tokens")
     near = F.col("both") * 100 >= F.col("one") * percent
     first_links = work.write(_verified(pairs, tokens), "first")
     roots = connected_components(first_links.filter(near), work, "first")
