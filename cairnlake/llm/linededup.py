@@ -10,6 +10,11 @@ windows match too, and the lines of the later run are deleted.
 A line is thus deleted exactly if a run of whole lines through it that holds at least `min_words` words, and no
 more lines than that takes, equals an earlier one (by doc_id, then line) that it does not overlap. Every
 deleted line stands somewhere earlier, so the first copy of any line always stays.
+
+That is the rule of the query's SQL. It leaves the end of a repeated run whose last lines hold too few words for a window
+of their own. With `maximal` a run counts at any length: the shortest runs that end at a line are windows too. A repeated
+run is covered by these two kinds, since of each of its lines either the shortest run from it on lies within,
+or what follows it is too short for that, and then the shortest run that ends with the repeated one holds it.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("tkey", F.xxhash64(text_or_empty()))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, maximal: bool = False) -> DataFrame:
     """The lines to delete: doc_id, tkey, lines (sorted array of line numbers from 0), for rows that have any."""
     work = Workspace(docs.sparkSession, "linededup")
     rows = _keyed(docs.select(F.col("doc_id").cast("long"), "text")).select(*ID, F.posexplode(F.split("text", "\n")).alias("line", "s"))
@@ -38,12 +43,20 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = lines.withColumn("again", F.lag("line").over(own).eqNullSafe(F.col("line"))).filter(~F.col("again"))  # of rows that repeat wholly one counts
     lines = lines.withColumn("before", F.coalesce(F.sum("words").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     run = Window.partitionBy(*ID).orderBy("before").rangeBetween(0, min_words - 1)
-    windows = lines.select(
-        *ID, "line", F.max("line").over(run).alias("last"), F.sum("words").over(run).alias("n"),
-        F.min(F.struct(F.xxhash64("h").alias("hash"), F.col("line").alias("at"))).over(run).alias("print"),
-        F.unhex(F.md5(F.array_join(F.collect_list("h").over(run), ""))).alias("content"),
+    window = lambda over: F.struct(
+        F.min("line").over(over).alias("line"), F.max("line").over(over).alias("last"), F.sum("words").over(over).alias("n"),
+        F.min(F.struct(F.xxhash64("h").alias("hash"), F.col("line").alias("at"))).over(over).alias("print"),
+        F.unhex(F.md5(F.array_join(F.collect_list("h").over(over), ""))).alias("content"),
     )
-    windows = work.write(windows.filter(F.col("n") >= min_words).drop("n"), "windows")
+    if maximal:
+        lines = lines.withColumn("after", F.col("before") + F.col("words"))
+        ending = Window.partitionBy(*ID).orderBy("after").rangeBetween(1 - min_words, 0)
+        # A window of both kinds counts once: equal contents are of the same kinds.
+        both = lines.select(*ID, window(run).alias("x"), window(ending).alias("y")).select(*ID, F.explode(F.array("x", "y")).alias("w"))
+        windows = both.select(*ID, "w.*").filter(F.col("n") >= min_words).drop("n").distinct()
+    else:
+        windows = lines.select(*ID, window(run).alias("w")).select(*ID, "w.*").filter(F.col("n") >= min_words).drop("n")
+    windows = work.write(windows, "windows")
     place = F.struct(*ID, "print.at")
     prints = windows.groupBy(F.col("print.hash").alias("hash")).agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("hash")
     matched = windows.join(prints, F.col("print.hash") == F.col("hash"), "left_semi").select(*ID, "line", "last", "content")
@@ -53,15 +66,15 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return gone.groupBy(*ID).agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, maximal: bool = False) -> DataFrame:
     """docs without the later copies of repeated runs of lines; adds n_lines (of the text as it was) and removed_lines (array of line numbers from 0).
 
     Lines end at line feeds only. Blank lines neither break a run nor are deleted. Null texts stay null, empty
     texts empty, with no lines removed. Rows that agree in doc_id and text count as one document and get one
     result; rows that share only the doc_id are different documents, in the order of a hash of their text.
-    A null doc_id comes before all others. Other columns pass through, with clashing names kept out of the way; no rows give no rows.
+    A null doc_id comes before all others. maximal deletes repeated runs to their ends (see above). Other columns pass through, with clashing names kept out of the way; no rows give no rows.
     """
-    gone = repeated_lines(docs, min_words).select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey"), F.col("lines").alias("__lines"))
+    gone = repeated_lines(docs, min_words, maximal).select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey"), F.col("lines").alias("__lines"))
     rows = docs.withColumn("__key", F.xxhash64(text_or_empty()))
     joined = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__tkey")), "left")
     lines = F.split("text", "\n")
