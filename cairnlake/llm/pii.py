@@ -2,8 +2,8 @@
 
 DataFrame operations only. The patterns' matches are the protected entities. The corpus tells how strongly a
 term near an entity reveals it: with document counts, PMI(e; t) = ln(n(e,t) N / (n(e) n(t))) is compared with the
-entity's own information IC(e) = ln(N / n(e)). A term whose PMI reaches `share` of IC and that stands near
-the entity in `support` different texts at least discloses it, and is a span too wherever it stands near that entity.
+entity's own information IC(e) = ln(N / n(e)). A term whose PMI is above 0 and reaches `share` of IC discloses the entity,
+however few texts hold the two, and is a span too wherever it stands near that entity.
 Sanitised texts generalise entities to their kind and remove the disclosing terms.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, text_or_empty
 
-SHARE, SUPPORT, REACH, LEAST_LETTERS = 0.9, 3, 48, 3
+SHARE, REACH, LEAST_LETTERS = 0.9, 48, 3
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The contract's patterns. A match can begin only where a run begins or the last match ended, and runs are
 #: possessive: the same matches, without trying every place of a long run and without a deep stack.
@@ -74,7 +74,7 @@ def _near(side: str) -> Column:
     return F.expr(f"flatten(transform(array({clean}), c -> aggregate({zipped}, struct(0 as at, {none} as terms), {grow}).terms))")
 
 
-def find_personal_data(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+def find_personal_data(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """Every row of docs with its spans: doc_id, tkey, base and terms (arrays of kind, start, end, value; code points, end exclusive).
 
     base holds the patterns' spans by kind in the order of KINDS, then start; terms the disclosing terms that
@@ -93,12 +93,12 @@ def find_personal_data(docs: DataFrame, share: float = SHARE, support: int = SUP
     clear = work.write(clear, "near")
     total = F.lit(float(max(1, base.count())))
     texts = lambda keys: clear.select("tkey", *keys).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    pairs = texts(["entity", "term"]).filter(F.col("term").isNotNull() & (F.col("n") >= support)).withColumnRenamed("n", "n_both")
+    pairs = texts(["entity", "term"]).filter(F.col("term").isNotNull()).withColumnRenamed("n", "n_both")
     entities = texts(["entity"]).withColumnRenamed("n", "n_entity")
     terms = rows.select(F.explode(F.array_distinct(F.expr("regexp_extract_all(lower(text), '{}', 0)".format(TERM.replace("\\", "\\\\"))))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     information = F.log(total / F.col("n_entity"))
     gain = F.log(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
-    telling = pairs.join(entities, "entity").join(terms, "term").filter(gain >= F.lit(share) * information).select("entity", "term")
+    telling = pairs.join(entities, "entity").join(terms, "term").filter((gain > 0) & (gain >= F.lit(share) * information)).select("entity", "term")
     spans = clear.join(telling, ["entity", "term"], "left_semi").groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("places"))
     spans = spans.select(F.col("doc_id").alias("d"), F.col("tkey").alias("k"), "places")
     joined = base.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k")), "left")
@@ -106,9 +106,9 @@ def find_personal_data(docs: DataFrame, share: float = SHARE, support: int = SUP
     return joined.select("doc_id", "tkey", "base", F.transform(places, lambda p: F.struct(F.lit("term").alias("kind"), p["start"].alias("start"), p["end"].alias("end"), F.lit("").alias("value"))).alias("terms"))
 
 
-def sanitise(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """docs with sanitised texts: an entity gives way to `[kind]`, a disclosing term to nothing; of overlapping spans the first stands. Other columns pass through."""
-    found = find_personal_data(docs, share, support).groupBy("doc_id", "tkey").agg(F.first(F.concat("base", "terms")).alias("all"))
+    found = find_personal_data(docs, share).groupBy("doc_id", "tkey").agg(F.first(F.concat("base", "terms")).alias("all"))
     found = found.select(F.col("doc_id").alias("__d"), F.col("tkey").alias("__k"), F.array_sort(F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("__all"))
     rows = docs.withColumn("__key", F.xxhash64(text_or_empty()))
     joined = rows.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")

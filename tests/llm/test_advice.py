@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 from brute import WORD
 
-from cairnlake.llm import linededup
+from cairnlake.llm import linededup, pii
 
 
 def rows(df):
@@ -47,3 +47,22 @@ def test_line_dedup_of_maximal_runs(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     for least in (4, 7, 12):
         assert removed(linededup.dedup_lines(df, least, maximal=True), docs) == maximal_runs(docs, least)
+
+
+# ---- personal data ------------------------------------------------------------------------------------
+
+
+def terms(spark, docs):
+    """docs: (doc_id, text) -> {doc_id: the terms that are spans}, at the query's parameters."""
+    text = dict(docs)
+    found = pii.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    return {r["doc_id"]: [text[r["doc_id"]][s["start"] : s["end"]] for s in r["terms"]] for r in found}
+
+
+COMMON = [(100 + i, "common words are written from here about that matter") for i in range(300)]
+
+
+def test_terms_of_rare_entities(spark):
+    docs = [*COMMON, (1, "Zebulon are written from zeb@x.org about common matter"), (2, "common words Quillon are here +49 30 1234567"), (3, "here Quillon written +49 (30) 1234567")]
+    got = terms(spark, docs)
+    assert got[1] == ["Zebulon"] and got[2] == got[3] == ["Quillon"] and not got[100]
