@@ -92,7 +92,8 @@ def find_personal_data(docs: DataFrame, share: float = SHARE) -> DataFrame:
     base = work.write(found.select("doc_id", "tkey", "base"), "base")
     clear = work.write(clear, "near")
     total = F.lit(float(max(1, base.count())))
-    texts = lambda keys: clear.select("tkey", *keys).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    copies = base.filter(F.size("base") > 0).groupBy("tkey").agg(F.count(F.lit(1)).alias("rows"))
+    texts = lambda keys: clear.select("tkey", *keys).distinct().join(copies, "tkey").groupBy(*keys).agg(F.sum("rows").alias("n"))
     pairs = texts(["entity", "term"]).filter(F.col("term").isNotNull()).withColumnRenamed("n", "n_both")
     entities = texts(["entity"]).withColumnRenamed("n", "n_entity")
     terms = rows.select(F.explode(F.array_distinct(F.expr("regexp_extract_all(lower(text), '{}', 0)".format(TERM.replace("\\", "\\\\"))))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))

@@ -66,3 +66,10 @@ def test_terms_of_rare_entities(spark):
     docs = [*COMMON, (1, "Zebulon are written from zeb@x.org about common matter"), (2, "common words Quillon are here +49 30 1234567"), (3, "here Quillon written +49 (30) 1234567")]
     got = terms(spark, docs)
     assert got[1] == ["Zebulon"] and got[2] == got[3] == ["Quillon"] and not got[100]
+
+
+def test_terms_of_copies(spark):
+    copy = "common words Zebulon are written from zeb@x.org about"
+    docs = [*COMMON, (1, "Zebulon are common from zeb@x.org words"), (2, "words here Zebulon from zeb@x.org about"), *((1000 + i, copy) for i in range(40))]
+    got = terms(spark, docs)
+    assert all(got[d] == ["Zebulon"] for d in (1, 2, *range(1000, 1040))) and not got[100]
