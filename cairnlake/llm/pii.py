@@ -1,20 +1,21 @@
 """Personal data: patterns, and information-theoretic sanitisation of what gives them away.
 
 DataFrame operations only. The patterns' matches are the protected entities. The corpus tells how strongly a
-term near an entity reveals it: with document counts, PMI(e; t) = ln(n(e,t) N / (n(e) n(t))) is compared with the
+term in an entity's text reveals it: with document counts, PMI(e; t) = ln(n(e,t) N / (n(e) n(t))) is compared with the
 entity's own information IC(e) = ln(N / n(e)). A term whose PMI is above 0 and reaches `share` of IC discloses the entity,
-however few texts hold the two, and is a span too wherever it stands near that entity.
+however few texts hold the two and however far apart they stand, and all its places in texts that hold the entity are spans too.
+A term counts wherever it stands in a text, within the entities too; only places outside them become spans.
 Sanitised texts generalise entities to their kind and remove the disclosing terms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, text_or_empty
 
-SHARE, REACH, LEAST_LETTERS = 0.9, 48, 3
+SHARE, LEAST_LETTERS = 0.9, 3
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The contract's patterns. A match can begin only where a run begins or the last match ended, and runs are
 #: possessive: the same matches, without trying every place of a long run and without a deep stack.
@@ -57,21 +58,18 @@ def spans_of(kind: str, text: str = "text") -> Column:
     return F.expr(f"IF({text} rlike '{hint}', aggregate({steps}, struct(0 as at, {none} as spans), {grow}).spans, {none})")
 
 
-def _near(side: str) -> Column:
-    """Terms within REACH code points of a span s, before or after it, with their places; words that the border cuts don't count."""
-    if side == "before":
-        cut = f"s.start > {REACH}"
-        part = f"substring(text, greatest(s.start - {REACH}, 0) + 1, least(s.start, {REACH}))"
-        clean, base = f"IF({cut}, regexp_replace({part}, '^\\\\p{{L}}+', ''), {part})", "s.start - length(c)"
-    else:
-        part = f"substring(text, s.end + 1, {REACH})"
-        clean, base = f"IF(length({part}) = {REACH}, regexp_replace({part}, '\\\\p{{L}}+$', ''), {part})", "s.end"
+def _words(text: str = "text") -> Column:
+    """The different terms of a text, in lower case."""
+    return F.expr("array_distinct(transform(regexp_extract_all({}, '{}', 0), x -> lower(x)))".format(text, TERM.replace("\\", "\\\\")))
+
+
+def _places(texts: DataFrame) -> DataFrame:
+    """tkey, term, start, end of every term of texts (tkey, text). Positions add up in a window: in an array they would be copied term by term."""
     term = TERM.replace("\\", "\\\\")
-    word = f"(?<!\\\\p{{L}}){term}"
-    zipped = f"zip_with(regexp_extract_all(c, '{word}', 0), transform(split(c, '{word}', -1), x -> length(x)), (h, g) -> struct(h as value, g as gap))"
-    grow = f"(a, x) -> struct(a.at + x.gap + coalesce(length(x.value), 0) as at, IF(x.value is null, a.terms, array_append(a.terms, named_struct('term', lower(x.value), 'start', {base} + a.at + x.gap, 'end', {base} + a.at + x.gap + length(x.value)))) as terms)"
-    none = "cast(array() as array<struct<term:string,start:int,end:int>>)"
-    return F.expr(f"flatten(transform(array({clean}), c -> aggregate({zipped}, struct(0 as at, {none} as terms), {grow}).terms))")
+    steps = f"zip_with(transform(regexp_extract_all(text, '{term}', 0), x -> x), transform(split(text, '{term}', -1), x -> length(x)), (h, g) -> struct(h as value, g as gap))"
+    steps = texts.select("tkey", F.posexplode(F.expr(steps)).alias("i", "x")).filter("x.value is not null")
+    end = F.sum(F.expr("x.gap + length(x.value)")).over(Window.partitionBy("tkey").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    return steps.withColumn("end", end).select("tkey", F.lower("x.value").alias("term"), F.expr("end - length(x.value)").alias("start"), "end")
 
 
 def find_personal_data(docs: DataFrame, share: float = SHARE) -> DataFrame:
@@ -84,25 +82,28 @@ def find_personal_data(docs: DataFrame, share: float = SHARE) -> DataFrame:
     work = Workspace(docs.sparkSession, "pii")
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("tkey", F.xxhash64("text"))
     found = rows.withColumn("base", F.concat(*(spans_of(k) for k in KINDS[:4])))
-    entity = "concat(s.kind, ':', IF(s.kind in ('card', 'phone'), regexp_replace(s.value, '[^0-9]', ''), lower(s.value)))"
-    exploded = found.filter(F.size("base") > 0).select("doc_id", "tkey", "text", "base", F.explode("base").alias("s"))
-    close = exploded.select("doc_id", "tkey", "base", F.expr(entity).alias("entity"), F.explode_outer(F.concat(_near("before"), _near("after"))).alias("t"))
-    # Without terms too: the entities are counted from this table.
-    clear = close.filter(F.expr("t is null or not exists(base, b -> b.start < t.end and t.start < b.end)")).select("doc_id", "tkey", "entity", "t.term", "t.start", "t.end")
-    base = work.write(found.select("doc_id", "tkey", "base"), "base")
-    clear = work.write(clear, "near")
-    total = F.lit(float(max(1, base.count())))
-    copies = base.filter(F.size("base") > 0).groupBy("tkey").agg(F.count(F.lit(1)).alias("rows"))
-    texts = lambda keys: clear.select("tkey", *keys).distinct().join(copies, "tkey").groupBy(*keys).agg(F.sum("rows").alias("n"))
-    pairs = texts(["entity", "term"]).filter(F.col("term").isNotNull()).withColumnRenamed("n", "n_both")
-    entities = texts(["entity"]).withColumnRenamed("n", "n_entity")
-    terms = rows.select(F.explode(F.array_distinct(F.expr("regexp_extract_all(lower(text), '{}', 0)".format(TERM.replace("\\", "\\\\"))))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    found = work.write(found.select("doc_id", "tkey", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "found")
+    total = F.lit(float(max(1, found.count())))
+    # Copies of a text hold the same: they are looked at once, and count as many rows.
+    texts = found.filter("text is not null").groupBy("tkey").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count(F.lit(1)).alias("rows"))
+    texts = work.write(texts, "texts")
+    entity = "array_distinct(transform(base, s -> concat(s.kind, ':', IF(s.kind in ('card', 'phone'), regexp_replace(s.value, '[^0-9]', ''), lower(s.value)))))"
+    held = texts.select("tkey", "rows", F.explode(F.expr(entity)).alias("entity"))
+    held = held.join(held.groupBy("entity").agg(F.sum("rows").alias("n_entity")), "entity")
+    terms = rows.select(F.explode(_words()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    terms = texts.select("tkey", F.explode(_words()).alias("term")).join(terms, "term")
+    # n_both is n_entity at most: a term in more texts than this cannot reach the share. No pair is lost by that, and few are left.
+    most = F.pow(total, F.lit(1 - share)) * F.pow(F.col("n_entity"), F.lit(share)) * (1 + 1e-9)
+    pairs = work.write(held.join(terms, "tkey").filter(F.col("n_term") <= most), "pairs")
     information = F.log(total / F.col("n_entity"))
     gain = F.log(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
-    telling = pairs.join(entities, "entity").join(terms, "term").filter((gain > 0) & (gain >= F.lit(share) * information)).select("entity", "term")
-    spans = clear.join(telling, ["entity", "term"], "left_semi").groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("places"))
-    spans = spans.select(F.col("doc_id").alias("d"), F.col("tkey").alias("k"), "places")
-    joined = base.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k")), "left")
+    telling = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("rows").alias("n_both")).filter((gain > 0) & (gain >= F.lit(share) * information))
+    told = pairs.join(telling.select("entity", "term"), ["entity", "term"], "left_semi").select("tkey", "term").distinct()
+    spots = _places(texts.join(told.select("tkey").distinct(), "tkey", "left_semi")).join(told, ["tkey", "term"], "left_semi")
+    taken = texts.select(F.col("tkey").alias("k"), F.explode("base").alias("b")).select("k", F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end"))
+    clear = spots.join(taken, (F.col("tkey") == F.col("k")) & (F.col("b_start") < F.col("end")) & (F.col("start") < F.col("b_end")), "left_anti")
+    spans = clear.groupBy(F.col("tkey").alias("k")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("places"))
+    joined = found.select("doc_id", "tkey", "base").join(spans, F.col("tkey") == F.col("k"), "left")
     places = F.coalesce("places", F.expr("cast(array() as array<struct<start:int,end:int>>)"))
     return joined.select("doc_id", "tkey", "base", F.transform(places, lambda p: F.struct(F.lit("term").alias("kind"), p["start"].alias("start"), p["end"].alias("end"), F.lit("").alias("value"))).alias("terms"))
 
