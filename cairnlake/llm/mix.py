@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Workspace
+from .common import WORD, Workspace, text_or_empty
 
 SHARE, MOST_EPOCHS, WEIGHTS, SEED = 1.5, 2, (3, 1, 2), "mix-1"
 #: Rows that one range of a source holds about, and the least number of ranges.
@@ -58,9 +58,15 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHT
     are a source of their own. Rows that repeat a doc_id count each; ties of keys go by doc_id, then size.
     Other columns are not read. No rows give no rows.
     """
+    return _shares(docs, [], share, weights, most, seed).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def _shares(docs: DataFrame, marks: list[Column], share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The rows of mix() with further columns of docs, which also settle ties."""
     spark = docs.sparkSession
     work = Workspace(spark, "mix")
-    rows = work.write(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size")), "sizes")
+    rows = work.write(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), *marks), "sizes")
+    marked = rows.columns[3:]
     digits = max(LEAST_DIGITS, math.ceil(math.log(max(rows.count() / RANGE_ROWS, 1), 16)))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     # A null source becomes a flag and an empty name, so that joins and windows need no null rule.
@@ -71,24 +77,29 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHT
     ranges = ranges.select("none", "name", "range", offset.alias("offset"), whole.alias("source_size"))
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, weights, most)
     goal = goal.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "target")
-    inside = Window.partitionBy("none", "name", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("none", "name", "range").orderBy("key", "doc_id", "size", *marked).rowsBetween(Window.unboundedPreceding, -1)
     summed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     reach = budget - epochs * F.col("source_size") - F.col("offset") - F.col("inside")
     taken = epochs * F.col("size") + F.least(F.greatest(reach, F.lit(0)), F.col("size"))
-    return summed.join(ranges, ["none", "name", "range"]).join(goal, ["none", "name"]).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return summed.join(ranges, ["none", "name", "range"]).join(goal, ["none", "name"]).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *marked)
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The mix itself, in the columns of docs: a row for each epoch that takes a document, whole but for the one
     document of a source at which its budget ends, which is cut after its last word taken (and n_chars, if there, set anew).
 
-    Documents without words take no part in budgets; they stay once, as they are. Rows that repeat a doc_id share one decision.
+    Documents without words take no part in budgets; they stay once, as they are. Rows that repeat a doc_id, or have none, are taken each by its own
+    share; rows that agree in doc_id, source and text hand out theirs in any order.
     """
-    parts = mix(docs, **parameters).groupBy("doc_id").agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
-    parts = parts.withColumnRenamed("doc_id", "__id")
-    joined = docs.join(parts, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "inner")
+    # Neither part of the key is null, so that the join and the window after it deal out the rows alike.
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id")
+    mark = F.xxhash64(F.col("doc_id").isNull(), F.col("source").isNull(), F.coalesce("source", F.lit("")), text_or_empty()).alias("__key")
+    parts = _shares(docs, [ident, mark], **parameters).groupBy("__id", "__key").agg(F.max("size").alias("__size"), F.collect_list("taken").alias("__shares"))
+    joined = docs.select("*", ident, mark).join(parts, ["__id", "__key"])
+    number = F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__key"))
+    joined = joined.withColumn("__taken", F.element_at("__shares", number))
     epochs = F.when(F.col("__size") == 0, 1).otherwise(F.ceil(F.col("__taken") / F.greatest(F.col("__size"), F.lit(1)))).cast("int")
     rows = joined.withColumn("__epoch", F.explode(F.when(epochs > 0, F.sequence(F.lit(1), epochs))))
     words = F.when(F.col("__size") > 0, F.least(F.col("__size"), F.col("__taken") - (F.col("__epoch") - 1) * F.col("__size")))

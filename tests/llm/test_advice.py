@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from brute import WORD, personal
 
-from cairnlake.llm import linededup, pii
+from cairnlake.llm import linededup, mix, pii
 
 
 LETTERS = re.compile(r"[^\W\d_]{3,}")
@@ -100,3 +100,21 @@ def test_terms_against_plain_python(spark):
             want.append((d, [(a, b) for a, b, w in spots if any((e, w) in telling for e in es) and not any(x < b and a < y for _, x, y in base)]))
         got = pii.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string"), share=share).collect()
         assert any(x for _, x in want) and sorted((r["doc_id"], [(s["start"], s["end"]) for s in r["terms"]]) for r in got) == sorted(want)
+
+
+# ---- mixing -------------------------------------------------------------------------------------------
+
+
+def test_mixed_documents_of_repeated_ids(spark):
+    text = lambda i, n: " ".join(f"d{i}w{k}" for k in range(n))
+    docs = [(None if i % 3 else 7, text(i, 1 + 5 * i % 23), "ab"[i % 2]) for i in range(40)]
+    docs += [(i % 5, text(100 + i, 3 + i), "c") for i in range(20)] + [(3, text(999, 50), "c")] * 4 + [(None, "", "a"), (None, None, "b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    want = Counter()
+    for r in mix.mix(df).collect():
+        want[r["doc_id"], r["source"]] += r["taken"]
+    got, kept = Counter(), mix.mixed_documents(df).collect()
+    for r in kept:
+        assert any(d == r["doc_id"] and s == r["source"] and (t or "").startswith(r["text"] or "") for d, t, s in docs)
+        got[r["doc_id"], r["source"]] += len(WORD.findall(r["text"] or ""))
+    assert +got == +want and sum(not r["text"] for r in kept) == 2
