@@ -285,7 +285,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     first = work.write(named.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     # What need not be indexed: copies but for each class's first, and empty texts. Ids that repeat may be both; then they are indexed.
     copies = named.join(first.filter("copies > 1"), "sig").filter("doc_id <> rep").select("doc_id").distinct()
-    copies = copies.join(first.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti") if _repeats(rows) else copies
+    repeats = _repeats(rows)
+    copies = copies.join(first.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti") if repeats else copies
+    several = named.groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).filter("x <> y").select("doc_id") if repeats else None
     keys = _keys(docs.filter(F.col("doc_id").isNotNull()), frequent, words, percent).hint("merge").join(copies.hint("merge"), "doc_id", "left_anti")
     index = _index(keys).repartition(_partitions(spark, rows), "key")
     meetings = work.write(_meetings(index), "meetings")
@@ -295,7 +297,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     near = F.col("both") * 100 >= F.col("one") * percent
     first_links = work.write(_verified(pairs, tokens), "first")
     roots = connected_components(first_links.filter(near), work, "first")
-    members = work.write(_open_members(meetings, first_links, roots), "members")
+    members = work.write(_open_members(meetings, first_links, roots, several), "members")
     asked = members.join(work.write(_open_documents(members, percent), "open"), ["a", "b"], "left_semi")
     more = work.write(_open_links(asked.join(tokens.toDF("b", "tokens"), "b"), percent), "more")
     work.drop("tokens", "meetings")
@@ -325,15 +327,19 @@ def _token_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, tokens binary")
 
 
-def _open_members(meetings: DataFrame, first_links: DataFrame, roots: DataFrame) -> DataFrame:
+def _open_members(meetings: DataFrame, first_links: DataFrame, roots: DataFrame, several: DataFrame | None = None) -> DataFrame:
     """Documents of leaders' groups that hold several components, but the leaders (judged already): a, b, d (distance to the leader),
-    root, n, big (keys in large groups), rest (whether outside the group's largest component), and block (of so many blocks)."""
+    root, n, big (keys in large groups), rest (whether outside the group's largest component), and block (of so many blocks).
+    several has the ids that repeat with another set, if any: a distance to or from one of these is of one of its sets only, and is no bound (null)."""
     stars = meetings.filter("star")
     # A document whose id repeats with another text has no bound (n = 0).
     size = F.when(F.min("nb") == F.max("nb"), F.min("nb")).otherwise(0)
     docs = stars.groupBy("b").agg(size.alias("n"), F.count(F.lit(1)).alias("big"))
     distance = first_links.groupBy("a", "b").agg(F.min(1 - F.col("both") / F.col("one")).alias("d"))
     members = stars.select("a", "b").distinct().join(distance, ["a", "b"], "left").withColumn("d", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("d")))
+    if several is not None:
+        for side in ("a", "b"):
+            members = members.join(several.select(F.col("doc_id").alias(side), F.lit(True).alias("several")), side, "left").withColumn("d", F.when(F.col("several").isNull(), F.col("d"))).drop("several")
     members = members.join(docs, "b").join(roots.toDF("b", "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     groups = members.groupBy("a", "root").agg(F.count(F.lit(1)).alias("k"))
     largest = groups.groupBy("a").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count(F.lit(1)).alias("components"), F.sum("k").alias("size"))

@@ -5,9 +5,9 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-from brute import WORD, personal
+from brute import WORD, jaccard_components, personal
 
-from cairnlake.llm import linededup, mix, pii
+from cairnlake.llm import linededup, mix, ngramjoin, pii
 
 
 LETTERS = re.compile(r"[^\W\d_]{3,}")
@@ -118,3 +118,18 @@ def test_mixed_documents_of_repeated_ids(spark):
         assert any(d == r["doc_id"] and s == r["source"] and (t or "").startswith(r["text"] or "") for d, t, s in docs)
         got[r["doc_id"], r["source"]] += len(WORD.findall(r["text"] or ""))
     assert +got == +want and sum(not r["text"] for r in kept) == 2
+
+
+# ---- n-gram join --------------------------------------------------------------------------------------
+
+
+def test_ngram_join_of_an_id_with_two_texts(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "FREQUENT", 10**9)
+    run = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    p, q = run("p", 44), run("q", 44)
+    # All share q with 1, the leader. 2 is near it by one text; its other text is near 3 alone, which is far from the leader.
+    told = [(1, f"{q} {p}"), (2, f"{q} {p} x"), (2, f"{q} y"), (3, f"{q} z")]
+    rest = [(10 + i, f"{q} {run(f'r{i}x', 60)}") for i in range(250)]
+    for docs in ([*told, *rest], [(4 - d if d < 4 else d, t) for d, t in told] + rest, [*told[:2], (2, f"{q} {run('y', 4)}"), (1, f"{q} z"), (3, f"{q} {run('z', 4)}"), *rest]):
+        got = sorted(map(tuple, ngramjoin.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
+        assert got == jaccard_components(docs)
