@@ -7,14 +7,16 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: For sessions that name no folder, as in tests on one machine.
+#: For sessions on one machine that name no folder, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local one takes its place where that is unset and the master is local; on a cluster an unset folder is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
         folder = LOCAL_CHECKPOINTS
     return folder.rstrip("/")
