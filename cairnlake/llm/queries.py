@@ -55,7 +55,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_groups(table(spark, sf_dir, "documents"))
-    return groups.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return groups.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +97,8 @@ e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END
 SELECT doc_id, size, source_size, target, CAST(epochs * size + least(greatest(budget - epochs * source_size - before, 0), size) AS BIGINT) AS taken FROM e""",
     "op2_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.v, x.v) AS BIGINT) AS score FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(CASE WHEN len(q.v) = 0 OR len(x.v) = 0 THEN 0 ELSE list_dot_product(q.v, x.v) END AS BIGINT) AS score FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p)
 SELECT * FROM r WHERE rank <= 5""",
     "op3_url_filter": r"""
@@ -111,14 +111,18 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m WH
     "op6_line_dedup": r"""
 WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
 l AS (SELECT doc_id, line, md5(s) AS h, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS words FROM s WHERE regexp_matches(s, '[^\x20\x09-\x0D]')),
-b AS (SELECT *, CAST(coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM l),
+b AS (SELECT *, CAST(sum(words) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) AS after, CAST(sum(words) OVER (PARTITION BY doc_id ORDER BY line) - words AS BIGINT) AS before FROM l),
 w AS (SELECT doc_id, line, max(line) OVER run AS last, sum(words) OVER run AS n, md5(array_to_string(list(h) OVER run, '')) AS content
-  FROM b WINDOW run AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+    FROM b WINDOW run AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION SELECT doc_id, min(line) OVER run, line, sum(words) OVER run, md5(array_to_string(list(h) OVER run, ''))
+    FROM b WINDOW run AS (PARTITION BY doc_id ORDER BY after RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
 v AS (SELECT *, first_value(doc_id) OVER o AS d1, first_value(last) OVER o AS last1, row_number() OVER o AS n1 FROM w WHERE n >= 50 WINDOW o AS (PARTITION BY content ORDER BY doc_id, line)),
 g AS (SELECT DISTINCT doc_id, unnest(generate_series(line, last)) AS line FROM v WHERE n1 > 1 AND (doc_id <> d1 OR line > last1)),
-gone AS (SELECT g.* FROM g),
-kept AS (SELECT s.doc_id, string_agg(s.s, chr(10) ORDER BY s.line) FILTER (WHERE g.line IS NULL) AS text, count(*) AS n_lines, count(g.line) AS n_removed,
-  string_agg(CAST(g.line AS VARCHAR), ',' ORDER BY g.line) AS removed_lines FROM s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.line = g.line GROUP BY s.doc_id)
+f AS (SELECT s.doc_id, s.line, s.s, CASE WHEN l.line IS NOT NULL THEN g.line IS NOT NULL END AS own FROM s LEFT JOIN l ON s.doc_id = l.doc_id AND s.line = l.line LEFT JOIN g ON s.doc_id = g.doc_id AND s.line = g.line),
+x AS (SELECT *, coalesce(own, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false)
+  AND coalesce(first_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), false)) AS gone FROM f),
+kept AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY line) FILTER (WHERE NOT gone) AS text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+  string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) FILTER (WHERE gone) AS removed_lines FROM x GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed_lines, '') AS removed_lines,
   sha256(coalesce(kept.text, '')) AS text_sha256 FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
     "op7_exact_dedup": """

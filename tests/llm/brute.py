@@ -100,21 +100,25 @@ def jaccard_components(docs, percent=75, n=5):
 
 
 def repeated_lines(docs, min_words=50):
-    """docs: (doc_id, text), ids unique -> {doc_id: sorted line numbers}."""
+    """docs: (doc_id, text), ids unique -> {doc_id: sorted line numbers}. A run of lines of any length from min_words on goes if it equals an
+    earlier one that it doesn't overlap. Blank lines don't break it, and go where the lines around them both go."""
     first, gone = {}, defaultdict(set)
     for d, t in sorted(docs):
         lines = [(i, s, len(WORD.findall(s))) for i, s in enumerate((t or "").split("\n")) if WORD.search(s)]
         for k in range(len(lines)):
-            words, j = 0, k
-            while j < len(lines) and words < min_words:
-                words, j = words + lines[j][2], j + 1
-            if words < min_words:
-                continue
-            run, own = tuple(s for _, s, _ in lines[k:j]), (d, lines[k][0], lines[j - 1][0])
-            if run not in first:
-                first[run] = own
-            elif first[run][0] != d or lines[k][0] > first[run][2]:
-                gone[d].update(range(lines[k][0], lines[j - 1][0] + 1))
+            words, run = 0, hashlib.sha256()
+            for i, s, n in lines[k:]:
+                words += n
+                run.update(f"{len(s)}:{s}".encode())
+                if words >= min_words:
+                    at, last = first.setdefault(run.digest(), (d, i))
+                    if at == d and lines[k][0] <= last:  # longer ones overlap too, or are the first of their kind
+                        continue
+                    gone[d].update(x for x, _, _ in lines if lines[k][0] <= x <= i)
+        for (a, _, _), (b, _, _) in zip(lines, lines[1:]):
+            if a in gone[d] and b in gone[d]:
+                gone[d].update(range(a, b))
+    gone = {d: x for d, x in gone.items() if x}
     return {d: sorted(x) for d, x in gone.items()}
 
 

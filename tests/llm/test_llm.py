@@ -130,10 +130,10 @@ def test_top_k(spark):
     data = [(i, [float(x) for x in np.round(rng.normal(size=8), 2)]) for i in range(300)]
     data += [(300 + i, [0.5] * 8) for i in range(40)] + [(400, None), (401, [1.0, None]), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (404, []), (None, [1.0] * 8), (405, [1.0, 2.0]), (7, [9.0] * 8)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("d", F.lit(1)).withColumn("qb", F.lit("x"))
-    asked = df.filter("vec_id % 20 = 0")
+    asked = df.filter("vec_id % 20 = 0 or vec_id = 404")
     got = sorted(rows(topk.exact_top_k(df, asked, pivots=6, query_block=5, row_block=64).select("query_id", "rank", "vec_id", "score")))
-    good = [(i, floored(v)) for i, v in data if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    assert got == sorted(top_k(good, [(i, v) for i, v in good if i % 20 == 0]))
+    good = [(i, floored(v)) for i, v in data if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    assert got == sorted(top_k(good, [(i, v) for i, v in good if i % 20 == 0 or i == 404]))
     assert rows(topk.exact_top_k(df.limit(0), asked)) == [] and rows(topk.exact_top_k(df, asked.limit(0))) == []
 
 
