@@ -28,12 +28,12 @@ _LONG = np.iinfo(np.int64)
 
 
 def integer_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and v = floor(scale * x) of each component (array of double, whole numbers); vectors that are null,
-    empty, or hold a null or non-finite component, and rows without vec_id, are left out."""
+    """vec_id and v = floor(scale * x) of each component (array of double, whole numbers); vectors that are null
+    or hold a null or non-finite component, and rows without vec_id, are left out. An empty vector stays, with no components."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     # floor() of a double is a long in Spark; larger components keep their own value, which has no fraction.
     v = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double")) < 2.0**52 / scale, F.floor(x.cast("double") * F.lit(float(scale))).cast("double")).otherwise(x.cast("double") * F.lit(float(scale))))
-    return rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False)) & (F.size("embedding") > 0)).select(F.col("vec_id").cast("long"), v.alias("v"))
+    return rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long"), v.alias("v"))
 
 
 def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> np.ndarray:
@@ -114,9 +114,9 @@ def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
 def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = SCALE, pivots: int = PIVOTS, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """The k rows of highest integer inner product for every query row: query_id, rank (from 1), vec_id, score.
 
-    rows and queries have vec_id and embedding; other columns are not read. Vectors that are null, empty, or
+    rows and queries have vec_id and embedding; other columns are not read. Vectors that are null or
     hold null or non-finite components take no part on either side; shorter vectors count as filled up with
-    zeros. A query is not its own candidate: no row with its vec_id is. Ties go to the smaller vec_id. Rows
+    zeros, so an empty one scores 0 with all. A query is not its own candidate: no row with its vec_id is. Ties go to the smaller vec_id. Rows
     that repeat a vec_id are candidates each, and a repeated query counts once. Fewer than k candidates: all. No
     queries or no candidates: no rows. Scores beyond the range of long are held at its ends.
     """
