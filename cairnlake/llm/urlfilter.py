@@ -6,12 +6,14 @@ though they are not; the third encodes the listed keys that the second takes; an
 no false positives. A key of the universe is listed exactly if the first level that rejects it is an even
 one (or if none rejects it and the number of levels is odd). Judging a url thus needs bit tests only, no join.
 
-Filters are arrays of longs inside the plan; their size follows the number of listed keys, which
-MAX_LISTED bounds, and the few false positives (a share of FALSE_RATE of the universe's keys, on level two).
+Filters are arrays of longs inside the plan. The first level's rate of false positives is taken from the counts, so that no more of
+them are to be expected than there are listed keys, however large the universe: the size of all levels follows the list alone
+(times the logarithm of the universe). Lists of more than MAX_LISTED keys are dealt by hash into parts, each with cascades of its own and a pass over the urls.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterable
 
@@ -22,7 +24,7 @@ from .common import Workspace
 
 #: The rules of the registered query: (action, key).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-FALSE_RATE, LATER_RATE, MAX_LISTED = 2**-10, 0.5, 1_000_000
+FALSE_RATE, LATER_RATE, MAX_LISTED = 2**-10, 0.5, 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,17 +35,14 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def candidate_keys(host: Column, path: Column, labels: Iterable[int], lengths: Iterable[int]) -> Column:
-    """The keys by which a url could be listed, longest first: host suffixes of so many labels with path heads of so many characters.
+    """The keys by which a url could be listed: host suffixes of so many labels with path heads of so many characters.
 
     labels and lengths are those that occur among the rules, so that long hosts and paths have few candidates.
     """
-    lengths = sorted(lengths, reverse=True)
-    keys = []
-    for n in sorted(labels, reverse=True):
-        suffix = F.substring_index(host, ".", -n)
-        enough = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) >= n - 1
-        keys += [F.when(enough & (F.length(path) >= m), F.concat(suffix, F.substring(path, 1, m))) for m in lengths]
-    return F.array_compact(F.array(*keys)) if keys else F.array().cast("array<string>")
+    numbers = lambda x: F.from_json(F.lit(json.dumps(sorted(x, reverse=True))), "array<int>")
+    parts = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    suffixes = F.transform(F.filter(numbers(labels), lambda n: n <= parts), lambda n: F.call_function("substring_index", host, F.lit("."), -n))
+    return F.flatten(F.transform(suffixes, lambda s: F.transform(F.filter(numbers(lengths), lambda m: m <= F.length(path)), lambda m: F.concat(s, F.substring(path, F.lit(1), m)))))
 
 
 def _positions(key: Column, bits: int, hashes: int, salt: int) -> list[Column]:
@@ -73,28 +72,30 @@ class BloomFilter:
         return hit
 
 
+def _key_table(spark, keys: Iterable[str]) -> DataFrame:
+    return spark.range(1).select(F.explode_outer(F.from_json(F.lit(json.dumps(sorted(keys))), "array<string>")).alias("key")).filter("key is not null")
+
+
 class Cascade:
     """Exact membership of a universe's keys in a list."""
 
-    def __init__(self, listed: list[str], universe: DataFrame, salt: int = 0, first_rate: float = FALSE_RATE, later_rate: float = LATER_RATE):
-        """universe: a table with the column key, all keys that will be asked for (listed or not)."""
-        if len(listed) > MAX_LISTED:
-            raise ValueError(f"{len(listed)} listed keys; the cascade is part of the plan and takes {MAX_LISTED} at most")
-        spark = universe.sparkSession
+    def __init__(self, listed: Iterable[str], universe: DataFrame, salt: int = 0, first_rate: float = FALSE_RATE, later_rate: float = LATER_RATE, size: int | None = None):
+        """universe: a table with the column key, all keys that will be asked for (listed or not), of so many rows."""
+        spark, listed = universe.sparkSession, set(listed)
         self.levels: list[BloomFilter] = []
         if not listed:
             return
-        inside = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
-        count, rate = len(set(listed)), first_rate
-        outside = None
+        count = len(listed)
+        size = universe.count() if size is None else size
+        inside, outside, rate = _key_table(spark, listed), None, min(first_rate, count / max(1, size))
+        work = Workspace(spark, "cascade")
         while count:
             self.levels.append(level := BloomFilter(inside, count, rate, salt * 1000 + len(self.levels)))
             if outside is None:  # the corpus's keys that the first level takes for listed
                 wrong = universe.filter(level.holds(F.col("key"))).join(inside, "key", "left_anti").select("key").distinct()
             else:
                 wrong = outside.filter(level.holds(F.col("key")))
-            work = Workspace(spark, "cascade")
-            wrong = work.write(wrong, "wrong")
+            wrong = work.write(wrong, f"wrong{len(self.levels)}")
             inside, outside, rate = wrong, inside, later_rate
             count = wrong.count()
 
@@ -106,7 +107,7 @@ class Cascade:
         return answer
 
 
-def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, default: str = "allow", first_rate: float = FALSE_RATE, later_rate: float = LATER_RATE) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, default: str = "allow", first_rate: float = FALSE_RATE, later_rate: float = LATER_RATE, most: int = MAX_LISTED) -> DataFrame:
     """Every page with its host, path, rule and verdict: page_id, host, path, rule, verdict.
 
     A rule fits its host and all subdomains if the url's path starts with the rule's; of several the longest
@@ -114,19 +115,30 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, defau
     A key listed with both actions counts as blocked. Null urls and urls without `://` have an empty host and
     path, which no rule fits. Repeated rows are judged each; other columns are not read; no rows give no rows.
     """
-    spark = pages.sparkSession
     rules = list(rules)
     blocked = {k for a, k in rules if a == "block"}
     allowed = {k for a, k in rules if a == "allow"} - blocked
     split = [k.partition("/") for k in blocked | allowed]
     labels, lengths = {h.count(".") + 1 for h, _, _ in split}, {len(s + p) for _, s, p in split}
     host, path = url_parts(F.col("url"))
-    parts = pages.select("page_id", host.alias("host"), path.alias("path"))
+    judged = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("best", F.lit(None).cast("struct<n:int,key:string,action:string>"))
     keys = candidate_keys(F.col("host"), F.col("path"), labels, lengths)
-    work = Workspace(spark, "urls")
-    universe = work.write(parts.select(F.explode(keys).alias("key")).distinct(), "universe")
-    block, allow = Cascade(sorted(blocked), universe, 1, first_rate, later_rate), Cascade(sorted(allowed), universe, 2, first_rate, later_rate)
-    judged = F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), F.when(block.lists(k), "block").when(allow.lists(k), "allow").alias("action")))
-    best = F.array_max(F.filter(judged, lambda x: x["action"].isNotNull()))
-    out = parts.withColumn("best", best)
-    return out.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    work = Workspace(pages.sparkSession, "urls")
+    universe = work.write(judged.select(F.explode_outer(keys).alias("key")).filter("key is not null").distinct(), "universe")
+    n, parts = universe.count(), max(1, math.ceil(max(len(blocked), len(allowed)) / most))
+    for part in range(parts):
+        mine = lambda k, part=part: _part(k, parts) == part
+        own = lambda listed: listed if parts == 1 else {r[0] for r in _key_table(pages.sparkSession, listed).filter(mine(F.col("key"))).collect()}
+        asked = universe if parts == 1 else universe.filter(mine(F.col("key")))
+        block, allow = (Cascade(own(k), asked, 2 * part + i, first_rate, later_rate, n) for i, k in enumerate((blocked, allowed)))
+        here = keys if parts == 1 else F.filter(keys, mine)
+        found = F.transform(here, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), F.when(block.lists(k), "block").when(allow.lists(k), "allow").alias("action")))
+        best = F.array_max(F.filter(found, lambda x: x["action"].isNotNull()))
+        judged = judged.withColumn("best", F.greatest("best", best) if part else best)
+        if part < parts - 1:
+            judged = work.write(judged, f"judged{part}")
+    return judged.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+
+
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts))
