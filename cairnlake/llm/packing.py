@@ -5,7 +5,8 @@ once. Pieces that fill a sequence are sequences of their own. The others are dea
 groups of bounded size, so that any number of pieces packs in parallel. Within a group each sequence is filled
 greedily, largest piece that fits first; then its smallest piece is exchanged for two unpacked ones if
 these fit the gap that widens so more tightly. Groups see like mixes of lengths; only a group's last sequences
-stay loose, and these pieces are packed anew together, in fewer groups, until one group is left.
+stay loose, and these pieces are packed anew together, in fewer groups, for as long as a round closes at least half of its pieces. Then, or
+when one group holds them all, sequences are closed as they are. So rounds are few, and no task ever holds more than a group.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
 
 def _few_at_a_time(ids, texts):
     for start in range(0, len(texts), TEXTS):
-        yield from ids.of_texts(texts.slice(start, TEXTS).to_pylist())
+        yield from ids.of_texts(texts.slice(start, TEXTS))
 
 
 def best_two_fit(lengths: list[int], room: int = SEQUENCE) -> list[list[int]]:
@@ -114,9 +115,10 @@ def pack(parts: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_P
     place = F.xxhash64("doc_id", "piece", "row")
     full = parts.filter(F.col("length") == sequence).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     open_, done, turn = parts.filter(F.col("length") < sequence), [full], 0
+    last = False
     while True:
         groups = max(1, math.ceil(n / group_pieces))
-        last = groups == 1
+        last = last or groups == 1
 
         def fill(batches, turn=turn, last=last):
             pdf = pd.concat(list(batches) or [pd.DataFrame()])
@@ -144,7 +146,8 @@ def pack(parts: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_P
         m = 0 if last else open_.count()
         if not m:
             break
-        n, turn = (m if m < n else 0), turn + 1
+        last = 2 * m > n
+        n, turn = m, turn + 1
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

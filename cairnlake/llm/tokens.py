@@ -9,20 +9,30 @@ keeps is bounded, and forgetting changes no result.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 
 import numpy as np
+import pyarrow as pa
 
 from .transducer import LATIN, character_class, latin_pattern
 
 #: Words and pre-tokens whose ids a worker keeps at once, and pre-tokens that are encoded at once.
 MOST_WORDS, MOST_PARTS, AT_ONCE = 1_000_000, 600_000, 2000
 LAST = chr(LATIN)
+#: Pre-tokens that are known as such: white space parts them and nothing in them changes.
+_PLAIN = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 _OPEN: dict[str, "WordIds"] = {}
 
 
-class WordIds(dict):
-    """Word (bytes without ASCII white space) -> its ids as little-endian unsigned 32-bit integers."""
+def forget_half(memory: dict) -> None:
+    """Drops the older half of a dict."""
+    for key in list(itertools.islice(memory, len(memory) // 2)):
+        del memory[key]
+
+
+class WordIds:
+    """Ids as little-endian unsigned 32-bit integers; words and pre-tokens are bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -30,51 +40,64 @@ class WordIds(dict):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": _PLAIN, "added_tokens": []}))
+        for t in (self.tokenizer, self.plain):
+            t.no_truncation()
+            t.no_padding()
+        self.special = [t["content"].encode("utf-8") for t in spec["added_tokens"]]
         suffix = spec["model"]["end_of_word_suffix"]
         self.ends = np.array([t.endswith(suffix) for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])])
         self.latin = latin_pattern(functools.partial(character_class, self.tokenizer))
-        self.parts: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
 
-    def _encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+    def _encode(self, tokenizer, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_parts(self, new: list[str]) -> None:
-        if len(self.parts) + len(new) > MOST_PARTS:
-            self.parts.clear()
+    def _learn_parts(self, new: list[bytes]) -> None:
         for i in range(0, len(new), AT_ONCE):
             some = new[i : i + AT_ONCE]
-            ids = self._encode(" ".join(some))
+            ids = self._encode(self.plain, [b" ".join(some).decode("utf-8")])[0]
             ends = (4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)).tolist()
             assert len(ends) == len(some)
-            self.parts.update((p, ids[a:b]) for p, a, b in zip(some, [0, *ends], ends))
-
-    def learn(self, words: set[bytes], special: bool = True) -> None:
+            self.parts.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends], ends))))
+
+    def _cut(self, word: bytes, special: bool) -> list[bytes] | None:
+        """The pre-tokens of a word; none where only the library can tell."""
+        if word.isalpha() and word.isascii():
+            return [word.lower()]
+        if special and any(s in word for s in self.special):
+            return None
+        text = word.decode("utf-8")
+        return [p.encode("utf-8") for p in self.latin.findall(text.lower())] if word.isascii() or max(text) < LAST else None
+
+    def learn(self, words: set[bytes], special: bool) -> None:
         """Takes in words; special: some may hold an added token's string."""
-        cut, find = {}, self.latin.findall
-        for word in words:
-            text = word.decode("utf-8")
-            if (word.isascii() or max(text) < LAST) and not (special and any([s in text for s in self.special])):
-                cut[word] = find(text.lower())
-            else:
-                self[word] = self._encode(text)
-        needed = set().union(*cut.values())
-        new = list(needed.difference(self.parts))
-        if len(self.parts) + len(new) > MOST_PARTS:
-            new = list(needed)
-        self._learn_parts(new)
+        cut = {word: self._cut(word, special) for word in words}
+        odd = [word for word, own in cut.items() if own is None]
+        self.words.update(zip(odd, self._encode(self.tokenizer, [w.decode("utf-8") for w in odd]) if odd else ()))
+        needed = set().union(*(own for own in cut.values() if own))
         parts = self.parts
-        self.update({word: parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own]) for word, own in cut.items()})
-
-    def of_texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts; few texts at a time keep the lists of words short."""
-        split = [t.encode("utf-8").split() for t in texts]
-        if len(self) > MOST_WORDS:
-            self.clear()
-        self.learn(set().union(*split).difference(self), any(s in t for t in texts for s in self.special))
-        return [b"".join(map(self.__getitem__, ws)) for ws in split]
+        if len(parts) + len(needed) > MOST_PARTS:
+            forget_half(parts)
+        self._learn_parts([p for p in needed if p not in parts])
+        self.words.update((word, parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])) for word, own in cut.items() if own is not None)
+
+    def of_texts(self, texts: pa.Array) -> list[bytes]:
+        """The ids of whole texts; few texts at a time keep the list of words short."""
+        texts = texts.cast(pa.binary()).to_pylist()
+        flat, ends = [], []
+        for t in texts:
+            flat += t.split()
+            ends.append(len(flat))
+        if len(self.words) > MOST_WORDS:
+            forget_half(self.words)
+        ids = list(map(self.words.get, flat))
+        if new := [i for i, x in enumerate(ids) if x is None]:
+            self.learn({flat[i] for i in new}, any(s in t for t in texts for s in self.special))
+            for i in new:
+                ids[i] = self.words[flat[i]]
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 def word_ids(path: str) -> WordIds:
