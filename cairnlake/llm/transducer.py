@@ -14,6 +14,7 @@ transducer runs one byte behind and has a transition for the end.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 
@@ -160,13 +161,18 @@ class TokenCounter(dict):
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > MOST_WORDS:
-            self.clear()
+            for old in list(itertools.islice(self, MOST_WORDS // 2)):
+                del self[old]
+        self[word] = total = self.count(word)
+        return total
+
+    def count(self, word: bytes) -> int:
+        """The tokens of a word, or of a part of one that begins and ends at borders of pre-tokens."""
         text, total = word.decode("utf-8"), 0
         while text:
             at, token = min(((i, t) for t in self.special if (i := text.find(t)) >= 0), default=(len(text), ""))
             total += self._plain(text[:at]) + bool(token)
             text = text[at + len(token) :]
-        self[word] = total
         return total
 
     def _plain(self, text: str) -> int:
