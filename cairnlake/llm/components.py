@@ -11,22 +11,30 @@ from .common import Workspace
 def connected_components(links: DataFrame, work: Workspace, name: str = "components") -> DataFrame:
     """(node, root) for every node of links (a, b): root is the component's smallest node.
 
-    Each round joins every node to its smallest neighbour, then to that one's, and contracts the links; the
-    rounds grow with the logarithm of a component's diameter. Hubs are counted by partial aggregation.
+    Each round draws a random priority for every node. A node goes to the neighbour of the least priority (or stays, if it is
+    the least itself), then to where that one went, and links are contracted. Priorities are drawn anew each round, so about half of
+    a chain's nodes go in a round in whatever order its ids stand: rounds grow with the logarithm of the number of nodes. A round's table has only
+    nodes that still have links, so all rounds together cost little more than the first. Hubs are counted by partial aggregation. No links give no rows.
     """
-    edges = work.write(links.select("a", "b").filter("a <> b").distinct(), f"{name}-edges0")
-    roots, k = None, 0
-    while True:
+    edges, steps = work.write(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-edges0"), []
+    while not steps or not edges.isEmpty():
+        k = len(steps)
+        priority = lambda c, k=k: F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("h"), F.col(c).alias("to"))
         both = edges.union(edges.select("b", "a")).toDF("node", "next")
-        parent = both.groupBy("node").agg(F.least("node", F.min("next")).alias("root"))
-        parent = work.write(parent, f"{name}-parent{k}")
-        up = parent.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        parent = work.write(parent.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), f"{name}-jump{k}")
-        moved = parent.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        roots = parent if roots is None else roots.join(moved, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        roots = work.write(roots, f"{name}-roots{k}")
-        edges = edges.join(parent.toDF("a", "ra"), "a").join(parent.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        edges = work.write(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges{k + 1}")
-        k += 1
-        if edges.isEmpty():
-            return roots
+        best = both.groupBy("node").agg(F.min(priority("next")).alias("best"))
+        parent = work.write(best.select("node", F.least("best", priority("node"))["to"].alias("root")), f"{name}-parent{k}")
+        up = parent.toDF("root", "up")
+        step = work.write(parent.join(up, "root").select("node", F.col("up").alias("root")), f"{name}-step{k}")
+        moved = edges.join(step.toDF("a", "ra"), "a").join(step.toDF("b", "rb"), "b").filter("ra <> rb")
+        edges = work.write(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{name}-edges{k + 1}")
+        work.drop(f"{name}-parent{k}", f"{name}-edges{k}")
+        steps.append(step)
+    roots = steps[-1]
+    for step in reversed(steps[:-1]):
+        top = roots.toDF("root", "top")
+        roots = step.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    roots = work.write(roots, f"{name}-roots")
+    least = roots.groupBy("root").agg(F.min("node").alias("least"))
+    least = work.write(roots.join(least, "root").select("node", F.col("least").alias("root")), name)
+    work.drop(*(f"{name}-step{k}" for k in range(len(steps))), f"{name}-edges{len(steps)}", f"{name}-roots")
+    return least

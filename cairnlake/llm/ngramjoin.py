@@ -11,10 +11,13 @@ band and the next, which covers all partners.
 
 Equal sets are one class from the start. Documents under one key are candidates: all pairs of a small group; of
 a larger one each document with the smallest (the leader). Sizes, and the number of keys that a pair shares, exclude
-most pairs before any set is compared. Candidates are verified; components follow from the links. Then, of
-one leader's documents, pairs that still are in different components are verified too, less those whose distances
-to the leader exclude a link (Jaccard distance is a metric). Every pair that shares a key is thus linked through
-its component, excluded by a bound, or verified: no link is lost, and large groups of copies are never expanded into all pairs.
+most pairs before any set is compared. Candidates are verified; components follow from the links.
+
+The first round knows frequent tokens only as far as tasks see them. Where a leader's documents still are in several components, these documents go
+into a second round, among themselves, with the exact counts of all their tokens, which leaves few keys in large groups. What is open after that is
+compared in blocks, less those pairs whose distances to the leader exclude a link (Jaccard distance is a metric). Every pair that shares a key is thus linked
+through its component, excluded by a bound, or verified: no link is lost, and large groups of copies are never expanded into all pairs. A key that a
+great many documents share needs no task of its own: its leader is known beforehand, and its documents meet it where they are read.
 """
 
 from __future__ import annotations
@@ -30,52 +33,18 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, text_or_empty
 from .components import connected_components
+from .shingles import MULTIPLIERS, mixed, shingle_sets
 
 WORDS, PERCENT = 5, 75
 #: A token is of the frequent class if it occurs in so many documents, as far as tasks see it LOCAL times or
 #: more; of these at most MOST_FREQUENT, the most frequent. The class bears on cost only, never on the result.
-FREQUENT, LOCAL, MOST_FREQUENT, BLOCK_TOKENS, MOST_WORDS = 16, 3, 500_000, 4_000_000, 1_000_000
+FREQUENT, LOCAL, MOST_FREQUENT, BLOCK_TOKENS = 16, 3, 500_000, 4_000_000
+#: A key is known beforehand to be hot if it occurs in so many documents, as far as tasks see it LOCAL_HOT times or more among BLOCK_TOKENS; of these the MOST_FREQUENT. It bears on cost only.
+HOT, LOCAL_HOT = 20_000, 64
 #: All pairs of a group of so many documents are candidates; a larger one goes by its leader.
 SMALL = 32
 #: Documents of one leader meet in blocks of about so many.
 BLOCK = 1000
-#: One for each word of a shingle; any odd numbers will do.
-_MULTIPLIERS = [np.uint64(m | 1) for m in np.random.default_rng(1).integers(0, 2**64, 64, dtype=np.uint64)]
-
-
-class _WordHashes(dict):
-    """Word -> the 8 bytes of its hash."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) > MOST_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_digest(word)
-        return h
-
-
-_HASHES = _WordHashes()
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """The sorted set of a text's shingles: all runs of `words` words, or the whole of fewer; A-Z lower-cased, words parted by ASCII white space."""
-    split = text.encode("utf-8").lower().split()
-    if not split:
-        return np.zeros(0, np.uint64)
-    h = np.frombuffer(b"".join(map(_HASHES.__getitem__, split)), np.uint64)
-    k = min(words, len(h))
-    out = h[k - 1 :] * _MULTIPLIERS[k - 1] + np.uint64(k)
-    for i in range(k - 1):
-        out += h[i : len(h) - k + 1 + i] * _MULTIPLIERS[i]
-    out = _mixed(out)
-    out.sort()
-    return out[np.concatenate([[True], out[1:] != out[:-1]])]
-
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
@@ -98,35 +67,34 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
     for b in (band, band + 1):
         g = max(1, int(math.exp(b * ratio) * (100 - percent) / 400))
         head = often[: p - len(rare) + g]
-        kind = _mixed(head + np.uint64(1)) % np.uint64(g)
+        kind = mixed(head + np.uint64(1)) % np.uint64(g)
         order = np.argsort(kind, kind="stable")
         head, kind = head[order], kind[order]
         for d in range(1, int(np.bincount(kind.astype(np.int64)).max(initial=0))):
             same = kind[d:] == kind[:-d]
             x, y = head[:-d][same], head[d:][same]
-            keys.append(_mixed(np.minimum(x, y) * _MULTIPLIERS[0] + _mixed(np.maximum(x, y)) + np.uint64(b)))
+            keys.append(mixed(np.minimum(x, y) * MULTIPLIERS[0] + mixed(np.maximum(x, y)) + np.uint64(b)))
     return np.concatenate(keys), False
 
 
-def _sets(docs: DataFrame, words: int, work: Workspace) -> DataFrame:
-    """(doc_id, n, sig, token, count): a row per document with its set's size and 128-bit signature, and rows of locally frequent tokens."""
+def _sets(docs: DataFrame, words: int, least: int = LOCAL) -> DataFrame:
+    """(doc_id, n, sig, token, count): a row per document with its set's size and 128-bit signature, and rows of tokens that a task sees `least` times."""
 
     def run(batches):
         seen, size = [], 0
 
         def frequent():
             tokens, counts = np.unique(np.concatenate(seen), return_counts=True)
-            tokens, counts = tokens[counts >= LOCAL], counts[counts >= LOCAL]
+            tokens, counts = tokens[counts >= least], counts[counts >= least]
             none = [pa.nulls(len(tokens), t) for t in (pa.int64(), pa.int64(), pa.binary())]
             return pa.RecordBatch.from_arrays([*none, pa.array(tokens.view(np.int64)), pa.array(counts)], names)
 
         names = ["doc_id", "n", "sig", "token", "count"]
         for batch in batches:
             sizes, sigs = [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text, words)
+            for s in shingle_sets(batch.column("text"), words):
                 sizes.append(len(s))
-                sigs.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                sigs.append(xxhash.xxh3_128_digest(s.data) if len(s) else None)
                 seen.append(s)
                 size += len(s)
                 if size > BLOCK_TOKENS:
@@ -137,7 +105,14 @@ def _sets(docs: DataFrame, words: int, work: Workspace) -> DataFrame:
         if seen:
             yield frequent()
 
-    return work.write(docs.mapInArrow(run, "doc_id long, n long, sig binary, token long, count long"), "sets")
+    return docs.mapInArrow(run, "doc_id long, n long, sig binary, token long, count long")
+
+
+def _frequent(sets: DataFrame):
+    """The frequent class, sorted, as a broadcast of MOST_FREQUENT tokens at most."""
+    counts = sets.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("n")).filter(F.col("n") >= FREQUENT)
+    often = counts.orderBy(F.col("n").desc(), "token").limit(MOST_FREQUENT).select("token").toArrow()["token"].to_numpy()
+    return sets.sparkSession.sparkContext.broadcast(np.sort(often.view(np.uint64)))
 
 
 def _keys(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
@@ -147,8 +122,7 @@ def _keys(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
         often = frequent.value
         for batch in batches:
             sizes, keys = [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text, words)
+            for s in shingle_sets(batch.column("text"), words):
                 own, full = index_keys(s, often, percent) if len(s) else (s, True)
                 sizes.append(len(s) if full else -len(s))
                 keys.append(own.tobytes())
@@ -157,29 +131,87 @@ def _keys(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n int, keys binary")
 
 
-def _index(keys: DataFrame) -> DataFrame:
-    """A row (key, doc_id, n) for each key."""
+def _rows_of(batch: pa.RecordBatch, some: int = 500):
+    """(key, doc_id, n) as numpy arrays, a row for each key, of some documents at a time."""
+    for start in range(0, batch.num_rows, some):
+        part = batch.slice(start, some)
+        own = part.column("keys").to_pylist()
+        at = np.repeat(np.arange(len(own)), [len(k) // 8 for k in own])
+        yield np.frombuffer(b"".join(own), np.int64), part.column("doc_id").to_numpy()[at], part.column("n").to_numpy()[at]
+
+
+def _hot(keys: DataFrame):
+    """Keys of very many documents as a broadcast: sorted keys, their leaders, and the leaders' n."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def found():
+            key, doc, n = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((doc, key))
+            key, doc, n = key[order], doc[order], n[order]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            counts = np.diff(np.r_[starts, len(key)])
+            some = starts[counts >= LOCAL_HOT]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[some], counts[counts >= LOCAL_HOT], doc[some], n[some])], ["key", "count", "doc_id", "n"])
+
+        for batch in batches:
+            for rows in _rows_of(batch):
+                held.append(rows)
+                size += len(rows[0])
+                if size > BLOCK_TOKENS:
+                    yield found()
+                    held, size = [], 0
+        if size:
+            yield found()
+
+    seen = keys.mapInArrow(run, "key long, count long, doc_id long, n int")
+    hot = seen.groupBy("key").agg(F.sum("count").alias("count"), F.min(F.struct("doc_id", "n")).alias("leader")).filter(F.col("count") >= HOT)
+    hot = hot.orderBy(F.col("count").desc(), "key").limit(MOST_FREQUENT).select("key", "leader.doc_id", "leader.n").toArrow().sort_by("key")
+    return keys.sparkSession.sparkContext.broadcast(tuple(hot[c].to_numpy() for c in ("key", "doc_id", "n")))
+
+
+def _index(keys: DataFrame, hot) -> DataFrame:
+    """A row (key, doc_id, n) for each key that is not hot."""
 
     def run(batches):
+        known = hot.value[0]
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                own = part.column("keys").to_pylist()
-                at = pa.array(np.repeat(np.arange(len(own)), [len(k) // 8 for k in own]), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(own), np.int64)), part.column("doc_id").take(at), part.column("n").take(at)], ["key", "doc_id", "n"])
+            for key, doc, n in _rows_of(batch):
+                cold = ~np.isin(key, known)
+                yield pa.RecordBatch.from_arrays([pa.array(x[cold]) for x in (key, doc, n)], ["key", "doc_id", "n"])
 
     return keys.mapInArrow(run, "key long, doc_id long, n int")
 
 
+def _hot_meetings(keys: DataFrame, hot) -> DataFrame:
+    """Documents with hot keys meet the leaders of these, as in _meetings()."""
+
+    def run(batches):
+        known, leader, size = hot.value
+        for batch in batches:
+            for key, doc, n in _rows_of(batch):
+                if not len(known):
+                    break
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                hit = known[at] == key
+                at, doc, n = at[hit], doc[hit], n[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (leader[at], doc, size[at], n)] + [pa.array(np.full(len(doc), True))], MEETING)
+
+    return keys.mapInArrow(run, "a long, b long, na int, nb int, star boolean")
+
+
+MEETING = ["a", "b", "na", "nb", "star"]
+
+
 def _meetings(rows: DataFrame) -> DataFrame:
     """Documents that meet under a key: (a, b, na, nb, star), a <= b. Rows come sorted by key and doc_id; groups stream through.
 
     Of a group of SMALL documents at most all pairs; of a larger one each document with the leader (the first), the leader itself included.
     """
-    names = ["a", "b", "na", "nb", "star"]
 
     def out(a, b, na, nb, star):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, na, nb)] + [pa.array(np.full(len(a), star))], names)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, na, nb)] + [pa.array(np.full(len(a), star))], MEETING)
 
     def run(batches):
         held, leader = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)], None
@@ -276,52 +308,75 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     spark = docs.sparkSession
     work = Workspace(spark, "ngramjoin")
     docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    sets = _sets(docs, words, work)
-    counts = sets.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("n")).filter(F.col("n") >= FREQUENT)
-    often = [r["token"] for r in counts.orderBy(F.col("n").desc(), "token").limit(MOST_FREQUENT).select("token").collect()]
-    frequent = spark.sparkContext.broadcast(np.sort(np.array(often, np.int64).view(np.uint64)))
+    sets = work.write(_sets(docs, words), "sets")
+    frequent = _frequent(sets)
     rows = sets.filter(F.col("token").isNull()).select("doc_id", "n", "sig")
     named = rows.filter(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
     first = work.write(named.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    # What need not be indexed: copies but for each class's first, and empty texts. Ids that repeat may be both; then they are indexed.
+    # What need not be indexed: copies but for each class's first. Ids that repeat may be both; then they are indexed.
     copies = named.join(first.filter("copies > 1"), "sig").filter("doc_id <> rep").select("doc_id").distinct()
     repeats = _repeats(rows)
     copies = copies.join(first.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti") if repeats else copies
     several = named.groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).filter("x <> y").select("doc_id") if repeats else None
-    keys = _keys(docs.filter(F.col("doc_id").isNotNull()), frequent, words, percent).hint("merge").join(copies.hint("merge"), "doc_id", "left_anti")
-    index = _index(keys).repartition(_partitions(spark, rows), "key")
-    meetings = work.write(_meetings(index), "meetings")
-    pairs = work.write(_candidates(meetings, percent), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    tokens = work.write(_token_sets(docs.hint("merge").join(ids.hint("merge"), "doc_id", "left_semi"), words), "tokens")
+    copies = work.write(copies, "copies")
+    texts = docs.filter(F.col("doc_id").isNotNull())
+    meetings, judged = _round(work, "first", texts, copies, frequent, None, words, percent)
     near = F.col("both") * 100 >= F.col("one") * percent
-    first_links = work.write(_verified(pairs, tokens), "first")
-    roots = connected_components(first_links.filter(near), work, "first")
-    members = work.write(_open_members(meetings, first_links, roots, several), "members")
-    asked = members.join(work.write(_open_documents(members, percent), "open"), ["a", "b"], "left_semi")
-    more = work.write(_open_links(asked.join(tokens.toDF("b", "tokens"), "b"), percent), "more")
-    work.drop("tokens", "meetings")
-    links = work.write(first_links.filter(near).select("a", "b").union(more), "links")
-    roots = connected_components(links, work, "links").toDF("rep", "root")
+    links = judged.filter(near).select("a", "b")
+    roots = connected_components(links, work, "first-roots")
+    open_ = work.write(_open_members(meetings, judged, roots, several).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "open")
+    work.drop("first-meetings", "first-tokens")
+    if not open_.isEmpty():
+        texts = work.write(texts.join(open_, "doc_id", "left_semi").join(copies, "doc_id", "left_anti"), "texts")
+        frequent = _frequent(_sets(texts, words, 1))
+        meetings, judged = _round(work, "second", texts, None, frequent, roots, words, percent)
+        links = links.union(judged.filter(near).select("a", "b"))
+        roots = connected_components(links, work, "second-roots")
+        members = work.write(_open_members(meetings, judged, roots, several), "members")
+        asked = members.join(work.write(_open_documents(members, percent), "asked"), ["a", "b"], "left_semi")
+        tokens = _token_sets(texts.join(asked.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi"), words)
+        more = work.write(_open_links(asked.join(tokens.toDF("b", "tokens"), "b"), percent), "more")
+        if not more.isEmpty():
+            roots = connected_components(links.union(more), work, "roots")
+    roots = roots.toDF("rep", "root")
     classes = first.select("sig", "rep").join(roots, "rep", "left").select("sig", F.coalesce("root", "rep").alias("root"))
-    out = rows.join(classes, "sig", "left")
+    out = rows.join(work.write(classes, "roots-of-classes"), "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
+def _round(work: Workspace, name: str, texts: DataFrame, copies: DataFrame | None, frequent, roots: DataFrame | None, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(meetings, verified pairs) of texts, but those of copies. Pairs that are in one component of roots already are left out."""
+    keys = _keys(texts, frequent, words, percent)
+    keys = work.write(keys if copies is None else keys.join(copies, "doc_id", "left_anti"), f"{name}-keys")
+    hot = _hot(keys)
+    index = _index(keys, hot).repartition(_partitions(work.spark, keys), "key")
+    meetings = work.write(_meetings(index).unionByName(_hot_meetings(keys, hot)), f"{name}-meetings")
+    work.drop(f"{name}-keys")
+    pairs = _candidates(meetings, percent)
+    if roots is not None:
+        for side in ("a", "b"):
+            pairs = pairs.join(roots.toDF(side, f"root_{side}"), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+        pairs = pairs.filter("root_a <> root_b").select("a", "b", "star")
+    pairs = work.write(pairs, f"{name}-pairs")
+    ids = work.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+    tokens = work.write(_token_sets(texts.join(ids, "doc_id", "left_semi"), words), f"{name}-tokens")
+    return meetings, work.write(_verified(pairs, tokens), f"{name}-judged")
+
+
 def _repeats(rows: DataFrame) -> bool:
     return not rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").isEmpty()
 
 
-def _partitions(spark, rows: DataFrame) -> int:
-    """Index rows are about a quarter of all shingles; a million of them a partition."""
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 4_000_000 + 1)
+def _partitions(spark, keys: DataFrame) -> int:
+    """A million index rows a partition."""
+    total = keys.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 8_000_000 + 1)
 
 
 def _token_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            sets = pa.array([shingles(t, words).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+            sets = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), words)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], ["doc_id", "tokens"])
 
     return docs.mapInArrow(run, "doc_id long, tokens binary")
@@ -427,7 +482,13 @@ def _needed(x: str, y: str, percent: int):
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; documents without words, and rows without doc_id, all stay. In the columns of docs."""
-    found = jaccard_components(docs, words, percent)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti").select(*docs.columns)
+    """docs with one document of each component, that of the smallest doc_id, in the columns of docs.
+
+    Documents without words (null, empty, blank), and rows without doc_id, all stay; rows that repeat the doc_id that stays stay too. Columns may have any names; no rows give no rows.
+    """
+    found = jaccard_components(docs.select("doc_id", "text"), words, percent)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    gone = Workspace(docs.sparkSession, "oneofeach").write(gone, "gone")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    kept = docs.toDF(*names).join(gone, F.col(names[docs.columns.index("doc_id")]).cast("long") == F.col("doc_id"), "left_anti")
+    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
