@@ -91,22 +91,23 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     document of a source at which its budget ends, which is cut after its last word taken (and n_chars, if there, set anew).
 
     Documents without words take no part in budgets; they stay once, as they are. Rows that repeat a doc_id, or have none, are taken each by its own
-    share; rows that agree in doc_id, source and text hand out theirs in any order.
+    share. Columns may have any names; no rows give no rows.
     """
-    # Neither part of the key is null, so that the join and the window after it deal out the rows alike.
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id")
-    mark = F.xxhash64(F.col("doc_id").isNull(), F.col("source").isNull(), F.coalesce("source", F.lit("")), text_or_empty()).alias("__key")
-    parts = _shares(docs, [ident, mark], **parameters).groupBy("__id", "__key").agg(F.max("size").alias("__size"), F.collect_list("taken").alias("__shares"))
-    joined = docs.select("*", ident, mark).join(parts, ["__id", "__key"])
-    number = F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__key"))
-    joined = joined.withColumn("__taken", F.element_at("__shares", number))
-    epochs = F.when(F.col("__size") == 0, 1).otherwise(F.ceil(F.col("__taken") / F.greatest(F.col("__size"), F.lit(1)))).cast("int")
-    rows = joined.withColumn("__epoch", F.explode(F.when(epochs > 0, F.sequence(F.lit(1), epochs))))
-    words = F.when(F.col("__size") > 0, F.least(F.col("__size"), F.col("__taken") - (F.col("__epoch") - 1) * F.col("__size")))
+    work = Workspace(docs.sparkSession, "mixed")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: names[docs.columns.index(c)] for c in ("doc_id", "source", "text", *({"n_chars"} & set(docs.columns)))}
+    rows = work.write(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
+    own = rows.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"), F.col(at["text"]).alias("text"), "row")
+    parts = work.write(_shares(own, [F.xxhash64(text_or_empty()).alias("mark"), F.col("row")], **parameters).select("row", "size", "taken"), "shares")
+    joined = rows.join(parts, "row")
+    epochs = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).cast("int")
+    turns = joined.filter(epochs > 0).withColumn("epoch", F.explode_outer(F.sequence(F.lit(1), epochs)))
+    words = F.when(F.col("size") > 0, F.least(F.col("size"), F.col("taken") - (F.col("epoch") - 1) * F.col("size")))
     # The head up to the last word taken; the possessive group is matched in a loop, without a deep stack.
-    head = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), words.cast("string"), F.lit("}+")), F.lit(0))
-    cut = words < F.col("__size")
-    out = rows.withColumn("text", F.when(cut, head).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    text = F.col(at["text"])
+    head = F.call_function("regexp_extract", text, F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), words.cast("string"), F.lit("}+")), F.lit(0))
+    cut = words < F.col("size")
+    out = turns.withColumn(at["text"], F.when(cut, head).otherwise(text))
+    if "n_chars" in at:
+        out = out.withColumn(at["n_chars"], F.when(cut, F.length(at["text"]).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col(at["n_chars"])))
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
