@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir, findable
+
 #: A word, as the contracts of mixing and of the Jaccard join define it.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used where the session names no folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
-        folder = LOCAL_CHECKPOINTS
-    return folder.rstrip("/")
-
-
-def findable(spark: SparkSession) -> None:
-    """Lets Python workers on this machine find the package wherever the driver was started; a cluster has it installed."""
-    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
 
 
 class Workspace:
@@ -39,7 +21,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         findable(spark)
-        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(path)
