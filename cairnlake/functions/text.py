@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Limits of a snapshot's labels and note, in bytes of UTF-8.
 MOST_LABELS, MOST_LABEL_BYTES, MOST_NOTE_BYTES = 16, 64, 2048
 DEFAULT_TAG, TRASH_DAYS = "DAILY", 7
-#: Fixed texts of error presentations: (kind, summary, hint), first match first.
+#: Fixed texts of error presentations: (what the message holds in lower case, summary, hint), first match first.
 ERRORS = (
-    ("canceled", "Operation cancelled", "No further work was started. Review partial output before retrying."),
-    ("key mismatch", "Repository credentials do not match", "Reconnect using the passphrase and salt originally used for this repository."),
-    ("needs init", "Repository key-check metadata is missing", "Open Setup and bind the existing repository only after confirming its credentials."),
-    ("busy", "Repository is busy", "Wait for the active backup, retention, or metadata operation to finish, then retry."),
-    ("permission", "Permission denied", "Check read/write permissions for the source, destination, and repository paths."),
+    ("context canceled", "Operation cancelled", "No further work was started. Review partial output before retrying."),
+    ("repository key-check failed: passphrase/salt mismatch", "Repository credentials do not match", "Reconnect using the passphrase and salt originally used for this repository."),
+    ("repository contains data but no key-check metadata; run init with bind-existing", "Repository key-check metadata is missing", "Open Setup and bind the existing repository only after confirming its credentials."),
+    ("repository is busy", "Repository is busy", "Wait for the active backup, retention, or metadata operation to finish, then retry."),
+    ("permission denied", "Permission denied", "Check read/write permissions for the source, destination, and repository paths."),
     ("snapshot not found", "Snapshot was not found", "Refresh the snapshot catalog and select an existing snapshot."),
     ("authentication failed", "Encrypted data could not be authenticated", "Verify repository credentials. If they are correct, run Doctor and restore damaged data from another copy."),
     ("hash mismatch|decode error", "Repository data appears corrupted", "Run Doctor, avoid garbage collection, and restore affected repository files from another copy."),
@@ -88,11 +88,27 @@ def safe_relative_path(path: Column) -> Column:
     return ~path.rlike(r"^/|(^|/)\.\.(/|$)") & (path != "")
 
 
+def rfc3339(time: Column) -> Column:
+    """A time as RFC 3339 in the session's zone, to the second; null for none."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def local_time(time: Column) -> Column:
+    """A time for people: date, minute and the zone's short name."""
+    return F.date_format(time, "yyyy-MM-dd HH:mm z")
+
+
+def path_completions(names: DataFrame, typed: str, most: int = 50) -> DataFrame:
+    """The names (column name) that begin with what was typed, in order, `most` of them at most: a top-k."""
+    return names.filter(F.startswith("name", F.lit(typed))).select("name").distinct().orderBy("name").limit(most)
+
+
 def present_error(message: Column) -> tuple[Column, Column]:
-    """(summary, hint) for an error message; null for none."""
+    """(summary, hint) for an error message; null for none. Causes are known by the texts that wrapped errors end in."""
     text, summary, hint = F.lower(message), F.lit(NO_ERROR_MATCH[0]), F.lit(NO_ERROR_MATCH[1])
+    held = lambda kind: F.greatest(*(F.contains(text, F.lit(k)).cast("int") for k in kind.split("|")), F.lit(0)) == 1
     for kind, s, h in reversed(ERRORS):
-        summary, hint = F.when(text.rlike(kind), F.lit(s)).otherwise(summary), F.when(text.rlike(kind), F.lit(h)).otherwise(hint)
+        summary, hint = F.when(held(kind), F.lit(s)).otherwise(summary), F.when(held(kind), F.lit(h)).otherwise(hint)
     return F.when(message.isNotNull(), summary), F.when(message.isNotNull(), hint)
 
 

@@ -110,6 +110,14 @@ def line_chunks(files: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumns({"length": F.octet_length("chunk").cast("bigint"), "cid": content_id(F.col("chunk"))})
 
 
+def line_slices(files: DataFrame) -> DataFrame:
+    """Lines as chunks of files (path, content binary), with their line feeds: path, ordinal, offset, length, cid. Empty files have none."""
+    rows = files.select("path", F.split(F.decode("content", "utf-8"), "\n", -1).alias("lines")).select("path", F.posexplode("lines").alias("ordinal", "s"), (F.size("lines") - 1).alias("last"))
+    chunk = F.when(F.col("ordinal") < F.col("last"), F.concat("s", F.lit("\n"))).otherwise(F.col("s"))
+    rows = rows.select("path", "ordinal", F.octet_length(chunk).cast("bigint").alias("length"), content_id(chunk).alias("cid")).filter("length > 0")
+    return chunk_offsets(rows, ["path"]).select("path", "ordinal", "offset", "length", "cid")
+
+
 def chunk_offsets(chunks: DataFrame, file: list[str], separator: int = 0) -> DataFrame:
     """Adds offset: where a chunk begins in its file, from the lengths before it (and a separator after each)."""
     w = Window.partitionBy(*file).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codec, hashing, text
+from ..engine import Engine, init
+from ..functions import codec, compression, hashing, text
 from ..operators import catalog, chunking, dedup, integrity, manifest, reclaim, replication, retention
 from ..operators import history as log
+from ..session import ensure_checkpoint_dir
 from ..sources import packfile
+from ..sources.repository import Repository
 from ..streaming import history as stream
 from . import tables as t
 
@@ -65,6 +70,10 @@ _INNER, _OUTER = (p.hex() for p in hashing.pads(t.KEY_META))
 _HEX = "lpad(right(hex({}), {}), {}, '0')"
 
 
+#: The w-th little-endian word of the hex id `cid`, as an unsigned number, from two halves of eight digits.
+_WORD = "(" + " + ".join(f"CAST(strpos('0123456789abcdef', substr(cid, CAST(16 * w + 2 * {b} + {d} AS INT), 1)) - 1 AS HUGEINT) * {256**b * (16 if d == 1 else 1)}" for b in range(8) for d in (1, 2)) + ")"
+
+
 def _le(value: str, size: int) -> str:
     """SQL for an integer's bytes, lowest first, as hex."""
     digits = f"lpad(to_hex({value}), {2 * size}, '0')"
@@ -137,12 +146,10 @@ def survivor_chunks(spark, sf):
   count(*) FILTER (WHERE status = 'grace' AND repack) AS lost_in_compat FROM c JOIN q ON q.pack_id = c.pack_id""")
 def gc_result(spark, sf):
     rows = _classified(spark, sf)
-    packs = reclaim.pack_dead_space(rows)
-    count = lambda frame, label: frame.select(F.lit(label).alias("label"))
-    kept, old = reclaim.after_collection(rows, packs), reclaim.after_collection(rows, packs, compat=True)
-    counted = count(rows.filter("status = 'dead'"), "purged").union(count(kept, "kept")).union(count(old, "old"))
-    n = lambda label: F.sum((F.col("label") == label).cast("bigint"))
-    return counted.agg(n("purged").alias("purged"), n("kept").alias("kept"), (n("kept") - n("old")).alias("lost_in_compat"))
+    n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    sums = reclaim.pack_dead_space(rows)
+    lost = F.when(F.col("repack"), F.col("grace_chunks")).otherwise(0)
+    return sums.agg(n(F.col("dead_chunks")).alias("purged"), n(F.col("live_chunks") + F.col("grace_chunks")).alias("kept"), n(lost).alias("lost_in_compat"))
 
 
 @query(f"""WITH {_LINES}, o AS (SELECT cid, min(source) AS a, max(source) AS b, min(length) AS length FROM l GROUP BY cid),
@@ -226,7 +233,7 @@ def fastcdc_chunks(spark, sf):
     return chunking.fastcdc(files, chunking.SMALL)
 
 
-@query()
+@query("SELECT doc_id, true AS opens, true AS rejects_aad, true AS rejects_change FROM documents")
 def aead_round_trip(spark, sf):
     """Every text sealed under its own key: opened with the right data, with wrong further data, and after a change of the last byte."""
     d = t.documents(spark, sf).withColumn("content", F.encode("text", "utf-8")).withColumn("cid", hashing.content_id(F.col("content")))
@@ -237,11 +244,15 @@ def aead_round_trip(spark, sf):
     opened = lambda sealed, a: hashing.open_sealed(sealed, F.col("key"), a)
     return d.select(
         "doc_id", opened(F.col("sealed"), F.col("aad")).eqNullSafe(F.col("content")).alias("opens"), opened(F.col("sealed"), F.col("key")).isNull().alias("rejects_aad"),
-        opened(broken, F.col("aad")).isNull().alias("rejects_change"), F.sha2("sealed", 256).alias("sealed_sha256"),
+        opened(broken, F.col("aad")).isNull().alias("rejects_change"),
     )
 
 
-@query()
+@query(f"""WITH t AS (SELECT sha256(text) AS cid, bool_or(lang = 'en') AS member FROM documents GROUP BY 1),
+b AS (SELECT (greatest(count(*), {codec.LEAST_ITEMS}) * {codec.BITS_PER_ITEM} + 63) // 64 * 64 AS bits FROM t WHERE member),
+p AS (SELECT cid, member, {_WORD} % (SELECT bits FROM b) AS p FROM t, (SELECT unnest(range(4)) AS w)),
+f AS (SELECT DISTINCT p FROM p WHERE member), q AS (SELECT cid, member, bool_and(p IN (SELECT p FROM f)) AS might_contain FROM p GROUP BY cid, member)
+SELECT member, might_contain, count(*) AS ids FROM q GROUP BY 1, 2""")
 def bloom_diagnostic(spark, sf):
     """The filter of English texts' ids asked for all texts' ids: no false negative, few false positives."""
     d = t.documents(spark, sf).select(hashing.content_id(F.col("text")).alias("cid"), (F.col("lang") == "en").alias("member"))
@@ -326,20 +337,40 @@ def doctor_issues(spark, sf):
 
 
 def _packs(spark, sf):
-    lines = t.lines(spark, sf).select("source", "doc_id", "ordinal", "length", F.col("cid").alias("storage_id"), F.encode("chunk", "utf-8").alias("content"))
-    packed = dedup.assign_packs(lines, ["source"], ["doc_id", "ordinal"], SCRUB_TARGET)
-    return packfile.build_packs(packed, ["source", "pack"], ["doc_id", "ordinal"])
+    lines = t.lines(spark, sf).select("source", (F.col("doc_id") % SHARDS).alias("shard"), "doc_id", "ordinal", "length", F.col("cid").alias("storage_id"), F.encode("chunk", "utf-8").alias("content"))
+    packed = dedup.assign_packs(lines, ["source", "shard"], ["doc_id", "ordinal"], SCRUB_TARGET)
+    return packfile.build_packs(packed, ["source", "shard", "pack"], ["doc_id", "ordinal"])
 
 
-@query()
+#: All lines in packs: r has a row for each record, p the packs' bytes as hex (before the trailer) and ids.
+_PACKS = f"""{_LINES}, o AS (SELECT source, doc_id % {SHARDS} AS shard, cid, chunk, length, row_number() OVER (PARTITION BY source, doc_id % {SHARDS} ORDER BY doc_id, ordinal) AS n FROM l),
+w AS (SELECT source, shard, n, CAST(0 AS BIGINT) AS pack, CAST(8 AS BIGINT) AS place, CAST(8 + 60 + length AS BIGINT) AS size FROM o WHERE n = 1 UNION ALL
+  SELECT o.source, o.shard, o.n, CASE WHEN w.size >= {SCRUB_TARGET} THEN w.pack + 1 ELSE w.pack END, CASE WHEN w.size >= {SCRUB_TARGET} THEN 8 ELSE w.size END,
+  CASE WHEN w.size >= {SCRUB_TARGET} THEN 8 ELSE w.size END + 60 + o.length FROM w JOIN o ON o.source = w.source AND o.shard = w.shard AND o.n = w.n + 1),
+r AS (SELECT w.*, o.cid, o.chunk, o.length, row_number() OVER (PARTITION BY w.source, w.shard, w.pack ORDER BY w.n) - 1 AS idx FROM w JOIN o ON o.source = w.source AND o.shard = w.shard AND o.n = w.n),
+a AS (SELECT source, shard, pack, '5041434b0001' || printf('%04x', count(*)) || string_agg(cid || substr(cid, 1, 48) || printf('%08x', length) || hex(encode(chunk)), '' ORDER BY n) AS body,
+  string_agg(cid || printf('%016x', place) || printf('%08x', length), '' ORDER BY n) AS tail FROM r GROUP BY ALL),
+p AS (SELECT source, shard, pack, sha256(unhex(body || tail || printf('%016x', CAST(len(body) // 2 AS BIGINT)) || sha256(unhex(body || tail)))) AS pack_id FROM a)"""
+
+
+@query(f"""WITH RECURSIVE {_PACKS} SELECT pack_id, CAST(idx AS INT) AS idx, cid AS storage_id, place AS "offset", CAST(length AS BIGINT) AS length FROM r JOIN p USING (source, shard, pack)""")
 def pack_entries(spark, sf):
     """All lines in packs, parsed again from the packs' bytes."""
     return packfile.pack_entries(packfile.parse_packs(_packs(spark, sf)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PACKS} SELECT pack_id, place AS "offset", cid AS storage_id, substr(cid, 1, 48) AS nonce, sha256(chunk) AS content_sha256 FROM r JOIN p USING (source, shard, pack) WHERE idx % 3 = 0""")
+def pack_record_reads(spark, sf):
+    """Every third record of the packs read at its place."""
+    packs = _packs(spark, sf).select("pack_id", "content")
+    at = packfile.pack_entries(packfile.parse_packs(packs)).filter("idx % 3 = 0").select("pack_id", "offset", "length")
+    return packfile.decode_records(packs, at).select("pack_id", "offset", "storage_id", F.lower(F.hex("nonce")).alias("nonce"), F.sha2("content", 256).alias("content_sha256"))
+
+
+@query(f"""WITH RECURSIVE {_PACKS} SELECT 'pack-checksum-mismatch' AS code, 'error' AS severity, pack_id AS resource, 'Packfile failed its trailer checksum' AS summary, 'checksum mismatch' AS detail,
+  'Restore this pack from a replicated copy or another backup of the repository.' AS hint FROM p WHERE pack = 0""")
 def scrub_issues(spark, sf):
-    """The packs of all lines, with a byte changed in the first pack of each source."""
+    """The packs of all lines, with a byte changed in the first pack of each writer."""
     damaged = F.when(F.col("pack") == 0, F.concat(F.expr("substring(content, 1, 99)"), F.unhex(F.lit("ff")), F.expr("substring(content, 101)"))).otherwise(F.col("content"))
     return integrity.scrub(packfile.parse_packs(_packs(spark, sf).withColumn("content", damaged)))
 
@@ -428,7 +459,7 @@ def stream_history_rollup(spark, sf):
     return stream.run_to_table(spark, stream.rollup(rows)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+@query("SELECT DISTINCT sha256(text) AS cid FROM conversations")
 def stream_new_contents(spark, sf):
     """Distinct contents of conversations' turns, taken in as a stream."""
     schema = t.load(spark, sf, "conversations").schema
@@ -452,10 +483,16 @@ def catalog_search(spark, sf):
 # ---- scalar functions -----------------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey, CASE WHEN p_brand = upper(p_brand) THEN p_brand ELSE p_brand END || '|' || p_type AS labels FROM part")
+@query("""WITH a AS (SELECT p_partkey, list_filter(list_transform([' ' || p_brand, upper(p_brand), '  ', p_type, lower(p_brand), lower(p_type), p_name || ' '], lambda v: trim(v)), lambda v: v <> '') AS x, p_size FROM part),
+b AS (SELECT p_partkey, p_size, x, list_transform(x, lambda v: lower(v)) AS y FROM a)
+SELECT p_partkey, array_to_string(list_filter(x, lambda v, i: list_position(y, lower(v)) = i), '|') AS labels,
+  CASE WHEN p_size > 45 THEN 'more than 16 labels' WHEN p_size > 40 THEN 'a label is longer than 64 bytes' WHEN p_size > 35 THEN 'the note is longer than 2048 bytes' END AS error FROM b""")
 def label_normalise(spark, sf):
-    labels = text.label_normalise(F.array(F.concat(F.lit(" "), "p_brand"), F.upper("p_brand"), F.lit("  "), F.col("p_type"), F.lower("p_brand"), F.lower("p_type")))
-    return t.load(spark, sf, "part").select("p_partkey", F.array_join(labels, "|").alias("labels"))
+    """Labels as they are kept, and why others would be refused."""
+    labels = text.label_normalise(F.array(F.concat(F.lit(" "), "p_brand"), F.upper("p_brand"), F.lit("  "), F.col("p_type"), F.lower("p_brand"), F.lower("p_type"), F.concat("p_name", F.lit(" "))))
+    tried = F.when(F.col("p_size") > 45, F.array_repeat(F.lit("x"), 17)).when(F.col("p_size") > 40, F.array(F.repeat(F.lit("é"), 33))).otherwise(F.array(F.repeat(F.lit("x"), 64)))
+    note = F.when(F.col("p_size") > 35, F.repeat(F.lit("n"), 2049)).otherwise(F.repeat(F.lit("n"), 2048))
+    return t.load(spark, sf, "part").select("p_partkey", F.array_join(labels, "|").alias("labels"), text.label_error(tried, note).alias("error"))
 
 
 @query("SELECT p_partkey, CASE WHEN len(x) = 0 THEN 'DAILY' ELSE array_to_string(x, '|') END AS tags FROM (SELECT p_partkey, list_filter(list_transform(string_split(replace(p_name, ' ', ' , '), ','), lambda v: trim(v)), lambda v: v <> '') AS x FROM part)")
@@ -483,10 +520,27 @@ def trash_times(spark, sf):
     return t.load(spark, sf, "orders").select(F.col("o_orderkey").alias("snapshot_id"), start.cast("timestamp_ntz").alias("trashed_at"), purge.cast("timestamp_ntz").alias("purge_after"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'Permission denied' WHEN 'click' THEN 'Snapshot was not found' WHEN 'view' THEN 'Repository data appears corrupted' WHEN 'signup' THEN 'Operation failed' END AS summary FROM events")
+#: Messages as operations give them, one for each rule, and which summary they get.
+_MESSAGES = (
+    ("backup: context canceled", "Operation cancelled", "No further work was started. Review partial output before retrying."),
+    ("open: repository key-check failed: passphrase/salt mismatch", "Repository credentials do not match", "Reconnect using the passphrase and salt originally used for this repository."),
+    ("repository contains data but no key-check metadata; run init with bind-existing", "Repository key-check metadata is missing", "Open Setup and bind the existing repository only after confirming its credentials."),
+    ("gc: repository is busy", "Repository is busy", "Wait for the active backup, retention, or metadata operation to finish, then retry."),
+    ("open /x: permission denied", "Permission denied", "Check read/write permissions for the source, destination, and repository paths."),
+    ("Snapshot not found", "Snapshot was not found", "Refresh the snapshot catalog and select an existing snapshot."),
+    ("decrypt chunk: authentication failed", "Encrypted data could not be authenticated", "Verify repository credentials. If they are correct, run Doctor and restore damaged data from another copy."),
+    ("verify: Hash mismatch", "Repository data appears corrupted", "Run Doctor, avoid garbage collection, and restore affected repository files from another copy."),
+    ("manifest: decode error", "Repository data appears corrupted", "Run Doctor, avoid garbage collection, and restore affected repository files from another copy."),
+    ("disk full", "Operation failed", "Review the operation inputs and run it again."),
+)
+
+
+@query("SELECT event_id, CASE event_id % 11 " + " ".join(f"WHEN {i} THEN '{s}'" for i, (_, s, _) in enumerate(_MESSAGES)) + " END AS summary, CASE event_id % 11 " + " ".join(f"WHEN {i} THEN '{h}'" for i, (_, _, h) in enumerate(_MESSAGES)) + " END AS hint FROM events")
 def error_presentation(spark, sf):
-    message = F.when(F.col("event_type") == "error", "open x: Permission denied").when(F.col("event_type") == "click", "Snapshot not found: 12").when(F.col("event_type") == "view", "chunk hash mismatch").when(F.col("event_type") == "signup", "disk full")
-    return t.load(spark, sf, "events").select("event_id", text.present_error(message)[0].alias("summary"))
+    """Every rule, and no message."""
+    message = F.get(F.array(*(F.lit(m) for m, _, _ in _MESSAGES)), (F.col("event_id") % 11).cast("int"))
+    summary, hint = text.present_error(message)
+    return t.load(spark, sf, "events").select("event_id", summary.alias("summary"), hint.alias("hint"))
 
 
 @query("SELECT doc_id, CASE WHEN n >= 1048576 THEN printf('%.1f MiB', floor(n / 1048576 * 10 + 0.5) / 10) WHEN n >= 1024 AND floor(n / 1024 * 10 + 0.5) / 10 < 10 THEN printf('%.1f KiB', floor(n / 1024 * 10 + 0.5) / 10) WHEN n >= 1024 THEN printf('%.0f KiB', floor(n / 1024 * 10 + 0.5) / 10) ELSE n || ' B' END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
@@ -518,6 +572,193 @@ def snapshot_status(spark, sf):
     return manifest.decode_envelope(envelopes, t.KEY_META).select(F.col("snapshot_id").cast("bigint").alias("snapshot_id"), "status")
 
 
+@query("SELECT p_partkey, CASE WHEN p_size <= 20 THEN sha256(p_name) END AS id FROM part")
+def hex_ids(spark, sf):
+    """Ids typed in either case, too short, and with a digit that is none."""
+    whole = F.sha2("p_name", 256)
+    typed = F.when(F.col("p_size") <= 10, whole).when(F.col("p_size") <= 20, F.upper(whole)).when(F.col("p_size") <= 30, F.substring(whole, 1, 62)).otherwise(F.concat(F.lit("g"), F.substring(whole, 2, 63)))
+    return t.load(spark, sf, "part").select("p_partkey", F.lower(F.hex(text.hex_id(typed))).alias("id"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size < 10 THEN 'src' WHEN p_size < 20 THEN 'a/' || p_name WHEN p_size < 30 THEN 'a/b/' || p_name ELSE '/other/' || p_name END AS path FROM part""")
+def path_normalise(spark, sf):
+    shown = F.when(F.col("p_size") < 10, "/data/src").when(F.col("p_size") < 20, F.concat(F.lit("/data/src//a/"), "p_name")).when(F.col("p_size") < 30, F.concat(F.lit("\\data\\src\\a\\b\\"), "p_name")).otherwise(F.concat(F.lit("/other//"), "p_name"))
+    return t.load(spark, sf, "part").select("p_partkey", text.normalise_path(shown, "/data/src").alias("path"))
+
+
+@query("""SELECT o_orderkey AS snapshot_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS rfc3339, strftime(o_orderdate, '%Y-%m-%d %H:%M UTC') AS local_time,
+  CASE o_orderpriority WHEN '1-URGENT' THEN o_orderdate WHEN '2-HIGH' THEN date_trunc('minute', o_orderdate) WHEN '3-MEDIUM' THEN date_trunc('day', o_orderdate) END AS parsed FROM orders""")
+def time_formats(spark, sf):
+    """Times written out, and read again in the three shapes in which users write them and one that is none."""
+    o = t.load(spark, sf, "orders").withColumn("ts", F.col("o_orderdate").cast("timestamp"))
+    typed = F.when(F.col("o_orderpriority") == "1-URGENT", text.rfc3339(F.col("ts"))).when(F.col("o_orderpriority") == "2-HIGH", F.date_format("ts", " yyyy-MM-dd HH:mm")).when(F.col("o_orderpriority") == "3-MEDIUM", F.date_format("ts", "yyyy-MM-dd")).otherwise("tomorrow")
+    return o.select(F.col("o_orderkey").alias("snapshot_id"), text.rfc3339(F.col("ts")).alias("rfc3339"), text.local_time(F.col("ts")).alias("local_time"), text.parse_time(typed).cast("timestamp_ntz").alias("parsed"))
+
+
+@query(f"SELECT completed_at, seq, operation, status FROM ({_HISTORY}) ORDER BY completed_at DESC, seq DESC LIMIT 200")
+def activity_ring(spark, sf):
+    return log.activity(t.history(spark, sf)).select("completed_at", "seq", "operation", "status")
+
+
+@query("SELECT DISTINCT p_name AS name FROM part WHERE starts_with(p_name, 'b') ORDER BY 1 LIMIT 50")
+def path_complete(spark, sf):
+    return text.path_completions(t.load(spark, sf, "part").select(F.col("p_name").alias("name")), "b")
+
+
+@query(f"""SELECT seq, '{{"operation":"' || operation || '","status":"' || status || '","started_at":"' || strftime(completed_at, '%Y-%m-%dT%H:%M:%SZ') || '","completed_at":"' || strftime(completed_at, '%Y-%m-%dT%H:%M:%SZ')
+  || '","duration_ms":' || CAST(floor(duration_ns / 1000000) AS BIGINT) || ',"result":"","error":""}}' AS json FROM ({_HISTORY})""")
+def history_json(spark, sf):
+    h = t.history(spark, sf).withColumns({"completed_at": F.col("completed_at").cast("timestamp"), "result": F.lit(None).cast("string"), "error": F.lit("")}).withColumn("started_at", F.col("completed_at"))
+    return log.entries_json(h)
+
+
+@query(f"SELECT seq, operation FROM (SELECT seq, operation FROM ({_HISTORY}) UNION ALL SELECT (SELECT max(event_id) FROM events) + i, 'op' || i FROM (SELECT unnest(range(1, 4)) AS i))")
+def history_append(spark, sf):
+    """Three entries numbered on after the last."""
+    h = t.history(spark, sf).select("completed_at", "seq", "operation")
+    new = spark.range(1, 4).select(F.lit("2030-01-01 00:00:00").cast(dict(h.dtypes)["completed_at"]).alias("completed_at"), F.concat(F.lit("op"), F.col("id").cast("string")).alias("operation"), F.col("id").alias("arrival"))
+    return log.append(h, new).select("seq", "operation")
+
+
+@query(f"""SELECT o_orderkey AS snapshot_id, CASE WHEN o_orderkey % 5 = 0 THEN 'trashed' WHEN o_orderkey % 5 = 1 THEN 'active' WHEN o_orderstatus = 'F' THEN 'trashed' ELSE 'active' END AS state,
+  o_orderpriority = '1-URGENT' OR o_orderkey % 5 = 2 AS pinned, CASE WHEN o_orderkey % 5 = 3 THEN TIMESTAMP '{NOW}' WHEN o_orderpriority = '2-HIGH' THEN o_orderdate + INTERVAL 400 DAY END AS retain_until,
+  CASE WHEN o_orderkey % 5 = 4 THEN 'Kept|n' END AS labels FROM orders""")
+def lifecycle_edits(spark, sf):
+    """Trash, untrash, pin, retain-until and describe, each for a fifth of the orders."""
+    rows = t.lifecycle(spark, sf).select("snapshot_id", "state", "pinned", F.col("retain_until").cast("timestamp"), F.lit(None).cast("array<string>").alias("labels"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("timestamp").alias("trashed_at"), F.col("purge_after").cast("timestamp"))
+    ids = lambda k: t.snapshots(spark, sf).filter(F.col("snapshot_id") % 5 == k).select("snapshot_id")
+    now = F.lit(NOW).cast("timestamp")
+    rows = catalog.untrash(catalog.trash(rows, ids(0), now), ids(1))
+    rows = catalog.retain_until(catalog.pin(rows, ids(2)), ids(3), now)
+    rows = catalog.describe(rows, ids(4).select("snapshot_id", F.array(F.lit(" Kept "), F.lit("kept"), F.lit("")).alias("labels"), F.lit("n ").alias("note")))
+    every = t.snapshots(spark, sf).select("snapshot_id").join(rows, "snapshot_id", "left")
+    return every.select("snapshot_id", "state", "pinned", F.col("retain_until").cast("timestamp_ntz").alias("retain_until"), F.when(F.col("labels").isNotNull(), F.concat_ws("|", F.array_join("labels", ","), "note")).alias("labels"))
+
+
+@query("""SELECT sha256('s' || o_orderkey) AS object_id, o_orderdate AS ts, CASE WHEN o_orderkey % 2 = 0 THEN sha256('p') END AS parent, 'DAILY|' || o_orderpriority AS tags, o_custkey AS total_bytes, o_orderkey - 1000000 AS size,
+  sha256('c' || o_orderkey) || '|' || sha256('d') AS storage_ids, 'ok' AS status FROM orders""")
+def wire_manifests(spark, sf):
+    """Manifests sealed in the wire format and read again as objects."""
+    o = t.load(spark, sf, "orders").select(
+        F.sha2(F.concat(F.lit("s"), F.col("o_orderkey").cast("string")), 256).alias("snapshot_id"), F.when(F.col("o_orderkey") % 2 == 0, F.sha2(F.lit("p"), 256)).alias("parent_snapshot_id"), F.col("o_orderdate").cast("timestamp").alias("ts"),
+        F.array(F.lit("DAILY"), "o_orderpriority").alias("retention_tags"), F.sha2(F.lit("m"), 256).alias("merkle_root"), F.col("o_custkey").cast("bigint").alias("total_bytes"), F.lit(1).cast("bigint").alias("total_files"),
+        F.array(F.struct(F.lit("a/é").alias("path"), (F.col("o_orderkey") - 1_000_000).cast("bigint").alias("size"), F.array(F.sha2(F.concat(F.lit("c"), F.col("o_orderkey").cast("string")), 256), F.sha2(F.lit("d"), 256)).alias("storage_ids"), F.sha2(F.lit("x"), 256).alias("content_hash"))).alias("files"),
+    )
+    objects = manifest.as_objects(manifest.encode_envelope(o, t.KEY_META, wire=True))
+    back = manifest.decode_envelope(objects.select(F.col("object_id").alias("snapshot_id"), F.lit(manifest.FORMAT_WIRE).alias("format"), F.col("content").alias("ciphertext")), t.KEY_META)
+    m = "manifest"
+    return back.select(
+        F.col("snapshot_id").alias("object_id"), F.col(f"{m}.ts").cast("timestamp_ntz").alias("ts"), F.col(f"{m}.parent_snapshot_id").alias("parent"), F.array_join(f"{m}.retention_tags", "|").alias("tags"), f"{m}.total_bytes",
+        F.col(f"{m}.files")[0]["size"].alias("size"), F.array_join(F.col(f"{m}.files")[0]["storage_ids"], "|").alias("storage_ids"), "status",
+    )
+
+
+@query("SELECT doc_id, true AS same, strlen(text) > 0 AS framed FROM documents")
+def zstd_round_trip(spark, sf):
+    d = t.documents(spark, sf).select("doc_id", F.encode("text", "utf-8").alias("content")).withColumn("frame", compression.compress(F.col("content")))
+    framed = F.col("content").isNotNull() & (F.octet_length("content") > 0) & (F.hex(F.substring("frame", 1, 4)) == "28B52FFD")
+    return d.select("doc_id", compression.decompress(F.col("frame")).eqNullSafe(F.col("content")).alias("same"), framed.alias("framed"))
+
+
+# ---- operations from end to end -------------------------------------------------------------------------
+
+_PASS, _SALT, _DAY = "fixture passphrase", b"fixture salt 0123456789", dt.datetime(2024, 5, 1, 12, tzinfo=dt.timezone.utc)
+_FIRST, _SECOND = (hashlib.sha256(x).hexdigest() for x in (b"first", b"second"))
+#: Lines with their line feeds as chunks: c.
+_SLICES = """e AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents),
+k AS (SELECT doc_id, source, lang, CASE WHEN i < n THEN s || chr(10) ELSE s END AS chunk FROM e), c AS (SELECT *, sha256(chunk) AS cid FROM k WHERE chunk <> '')"""
+
+
+def _repository(spark) -> Repository:
+    """An empty repository in the shared folder, which goes when the session's JVM ends."""
+    root = f"{ensure_checkpoint_dir(spark)}/repository-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return Repository(spark, root)
+
+
+def _opened(spark) -> Engine:
+    repo = _repository(spark)
+    init(repo, _PASS, _SALT)
+    return Engine(repo, _PASS, _SALT, chunker=chunking.line_slices, pack_target=1 << 20)
+
+
+def _files(spark, sf):
+    return t.documents(spark, sf).select(F.concat_ws("/", "source", "doc_id").alias("path"), "lang", F.encode("text", "utf-8").alias("content"))
+
+
+def _two_backups(spark, sf, second: str = "true") -> tuple[Engine, list[dict]]:
+    """English documents, then those that `second` says, a day later."""
+    engine, files = _opened(spark), _files(spark, sf)
+    return engine, [engine.backup(files.filter("lang = 'en'").drop("lang"), _FIRST, _DAY), engine.backup(files.filter(second).drop("lang"), _SECOND, _DAY + dt.timedelta(days=1), parent=_FIRST)]
+
+
+_COUNTED = "count(DISTINCT doc_id) AS files_processed, CAST(sum(strlen(chunk)) AS BIGINT) AS logical_bytes, count(*) AS chunks_examined"
+
+
+@query(f"""WITH {_SLICES}, n AS (SELECT count(DISTINCT cid) AS n FROM c WHERE lang = 'en'), m AS (SELECT count(DISTINCT cid) AS n FROM c)
+SELECT *, chunks_examined - chunks_new AS chunks_reused FROM (SELECT 1 AS run, {_COUNTED}, (SELECT n FROM n) AS chunks_new FROM c WHERE lang = 'en' UNION ALL SELECT 2 AS run, {_COUNTED}, (SELECT n FROM m) - (SELECT n FROM n) AS chunks_new FROM c)""")
+def backup_result(spark, sf):
+    """Two backups into a new repository, the second finding what the first has stored."""
+    _, results = _two_backups(spark, sf)
+    names = ("files_processed", "logical_bytes", "chunks_examined", "chunks_new", "chunks_reused")
+    rows = [(i, *(int(r[n]) for n in names)) for i, r in enumerate(results, 1)]
+    return spark.createDataFrame(rows, "run int, " + ", ".join(f"{n} long" for n in names)).select("run", "files_processed", "logical_bytes", "chunks_examined", "chunks_new", "chunks_reused")
+
+
+@query(f"""WITH {_SLICES} SELECT d.source || '/' || d.doc_id AS path, sha256(text) AS content_sha256, (SELECT count(*) FROM c WHERE c.doc_id = d.doc_id) AS chunks, CAST(0 AS BIGINT) AS missing FROM documents d""")
+def restore_from_packs(spark, sf):
+    """The second snapshot, put together from packs: located, opened, unpacked, joined and checked."""
+    engine, _ = _two_backups(spark, sf)
+    return engine.restore(_SECOND).select("path", F.sha2("content", 256).alias("content_sha256"), "chunks", "missing")
+
+
+@query(f"""WITH {_SLICES}, x AS (SELECT cid, bool_or(lang <> 'en') AS live FROM c GROUP BY cid)
+SELECT 2 AS snapshots_evaluated, 1 AS snapshots_retained, 1 AS snapshots_dropped, (SELECT count(*) FROM x) AS chunks_examined, (SELECT count(*) FROM x WHERE NOT live) AS chunks_purged,
+  (SELECT count(*) FROM x WHERE live) AS chunks_left, (SELECT count(DISTINCT doc_id) FROM c WHERE lang <> 'en') AS files_checked, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS index_issues""")
+def gc_execute(spark, sf):
+    """Collection after two backups of which the policy keeps the newest: packs are rewritten, and what is left verifies."""
+    engine, _ = _two_backups(spark, sf, "lang <> 'en'")
+    result, _ = engine.gc(_DAY + dt.timedelta(days=30), retention.Policy(1, 0, 0, 0))
+    checked, issues = engine.doctor()
+    names = ("snapshots_evaluated", "snapshots_retained", "snapshots_dropped", "chunks_examined", "chunks_purged")
+    found = issues.groupBy((F.col("code") == "verify-failed").alias("v")).count().collect()
+    row = (*(int(result[n]) for n in names), engine.repo.table("chunks").count(), int(checked["verify"]["files_checked"]), sum(r["count"] for r in found if r["v"]), sum(r["count"] for r in found if not r["v"]))
+    kinds = ["snapshots_evaluated int", "snapshots_retained int", "snapshots_dropped int", *(f"{n} long" for n in ("chunks_examined", "chunks_purged", "chunks_left", "files_checked", "failed", "index_issues"))]
+    return spark.createDataFrame([row], ", ".join(kinds))
+
+
+@query(f"""WITH {_SLICES}, n AS (SELECT count(DISTINCT cid) AS n FROM c)
+SELECT CAST(2 AS BIGINT) AS manifests, CAST(2 AS BIGINT) AS skipped_again, (SELECT n FROM n) AS chunk_locations, (SELECT n FROM n) AS cids_recovered, CAST(2 AS BIGINT) AS snapshots_checked,
+  (SELECT count(*) FROM documents) + (SELECT count(*) FROM documents WHERE lang = 'en') AS files_checked""")
+def recover_result(spark, sf):
+    """Two snapshots replicated, replicated again, and recovered into an empty repository that then verifies."""
+    engine, _ = _two_backups(spark, sf)
+    remote = _repository(spark)
+    first, again = engine.replicate(remote), engine.replicate(remote)
+    back = _opened(spark).recover(remote, _DAY + dt.timedelta(days=2))
+    row = (first["manifests"]["items_replicated"], again["manifests"]["items_skipped"], back["chunk_locations"], back["cids_recovered"], back["verify"]["snapshots_checked"], back["verify"]["files_checked"])
+    return spark.createDataFrame([tuple(int(x) for x in row)], "manifests long, skipped_again long, chunk_locations long, cids_recovered long, snapshots_checked long, files_checked long")
+
+
+@query(f"""WITH {_SLICES}, x AS (SELECT cid, bool_or(lang <> 'en') AS live FROM c GROUP BY cid)
+SELECT (SELECT count(*) FROM x WHERE NOT live) AS chunks_reclaimed, (SELECT count(*) FROM x WHERE live) AS chunks_left, CAST(1 AS BIGINT) AS snapshots_left""")
+def hard_delete_execute(spark, sf):
+    engine, _ = _two_backups(spark, sf, "lang <> 'en'")
+    result = engine.hard_delete(_FIRST, _DAY + dt.timedelta(days=2))
+    row = (int(result["chunks_reclaimed"]), engine.repo.table("chunks").count(), engine.repo.table("snapshots").count())
+    return spark.createDataFrame([row], "chunks_reclaimed long, chunks_left long, snapshots_left long")
+
+
+@query("SELECT sha256(p_brand) AS storage_id, max(p_partkey) AS \"offset\", count(*) AS given FROM part GROUP BY 1")
+def upsert_last_wins(spark, sf):
+    """Locations written for parts in their order, all of a brand under one id: the last one stays."""
+    part = t.load(spark, sf, "part").orderBy("p_partkey").select(F.sha2("p_brand", 256).alias("storage_id"), F.lit("p").alias("pack_id"), F.col("p_partkey").cast("bigint").alias("offset"), F.lit(1).cast("bigint").alias("length"), F.lit(0).cast("bigint").alias("upload_time_unix"))
+    repo = _repository(spark)
+    repo.commit({"chunks": repo.upserted("chunks", part)})
+    return repo.scan("chunks").join(part.groupBy("storage_id").agg(F.count(F.lit(1)).alias("given")), "storage_id").select("storage_id", "offset", "given")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
