@@ -337,29 +337,29 @@ def doctor_issues(spark, sf):
 
 
 def _packs(spark, sf):
-    lines = t.lines(spark, sf).select("source", (F.col("doc_id") % SHARDS).alias("shard"), "doc_id", "ordinal", "length", F.col("cid").alias("storage_id"), F.encode("chunk", "utf-8").alias("content"))
-    packed = dedup.assign_packs(lines, ["source", "shard"], ["doc_id", "ordinal"], SCRUB_TARGET)
-    return packfile.build_packs(packed, ["source", "shard", "pack"], ["doc_id", "ordinal"])
+    lines = t.lines(spark, sf).select("source", "doc_id", "ordinal", "length", F.col("cid").alias("storage_id"), F.encode("chunk", "utf-8").alias("content"))
+    packed = dedup.assign_packs(lines, ["source"], ["doc_id", "ordinal"], SCRUB_TARGET)
+    return packfile.build_packs(packed, ["source", "pack"], ["doc_id", "ordinal"])
 
 
 #: All lines in packs: r has a row for each record, p the packs' bytes as hex (before the trailer) and ids.
-_PACKS = f"""{_LINES}, o AS (SELECT source, doc_id % {SHARDS} AS shard, cid, chunk, length, row_number() OVER (PARTITION BY source, doc_id % {SHARDS} ORDER BY doc_id, ordinal) AS n FROM l),
-w AS (SELECT source, shard, n, CAST(0 AS BIGINT) AS pack, CAST(8 AS BIGINT) AS place, CAST(8 + 60 + length AS BIGINT) AS size FROM o WHERE n = 1 UNION ALL
-  SELECT o.source, o.shard, o.n, CASE WHEN w.size >= {SCRUB_TARGET} THEN w.pack + 1 ELSE w.pack END, CASE WHEN w.size >= {SCRUB_TARGET} THEN 8 ELSE w.size END,
-  CASE WHEN w.size >= {SCRUB_TARGET} THEN 8 ELSE w.size END + 60 + o.length FROM w JOIN o ON o.source = w.source AND o.shard = w.shard AND o.n = w.n + 1),
-r AS (SELECT w.*, o.cid, o.chunk, o.length, row_number() OVER (PARTITION BY w.source, w.shard, w.pack ORDER BY w.n) - 1 AS idx FROM w JOIN o ON o.source = w.source AND o.shard = w.shard AND o.n = w.n),
-a AS (SELECT source, shard, pack, '5041434b0001' || printf('%04x', count(*)) || string_agg(cid || substr(cid, 1, 48) || printf('%08x', length) || hex(encode(chunk)), '' ORDER BY n) AS body,
+_PACKS = f"""{_LINES}, o AS (SELECT source, cid, chunk, length, row_number() OVER (PARTITION BY source ORDER BY doc_id, ordinal) AS n FROM l),
+w AS (SELECT source, n, CAST(0 AS BIGINT) AS pack, CAST(8 AS BIGINT) AS place, CAST(8 + 60 + length AS BIGINT) AS size FROM o WHERE n = 1 UNION ALL
+  SELECT o.source, o.n, CASE WHEN w.size >= {SCRUB_TARGET} THEN w.pack + 1 ELSE w.pack END, CASE WHEN w.size >= {SCRUB_TARGET} THEN 8 ELSE w.size END,
+  CASE WHEN w.size >= {SCRUB_TARGET} THEN 8 ELSE w.size END + 60 + o.length FROM w JOIN o ON o.source = w.source AND o.n = w.n + 1),
+r AS (SELECT w.*, o.cid, o.chunk, o.length, row_number() OVER (PARTITION BY w.source, w.pack ORDER BY w.n) - 1 AS idx FROM w JOIN o ON o.source = w.source AND o.n = w.n),
+a AS (SELECT source, pack, '5041434b0001' || printf('%04x', count(*)) || string_agg(cid || substr(cid, 1, 48) || printf('%08x', length) || hex(encode(chunk)), '' ORDER BY n) AS body,
   string_agg(cid || printf('%016x', place) || printf('%08x', length), '' ORDER BY n) AS tail FROM r GROUP BY ALL),
-p AS (SELECT source, shard, pack, sha256(unhex(body || tail || printf('%016x', CAST(len(body) // 2 AS BIGINT)) || sha256(unhex(body || tail)))) AS pack_id FROM a)"""
+p AS (SELECT source, pack, sha256(unhex(body || tail || printf('%016x', CAST(len(body) // 2 AS BIGINT)) || sha256(unhex(body || tail)))) AS pack_id FROM a)"""
 
 
-@query(f"""WITH RECURSIVE {_PACKS} SELECT pack_id, CAST(idx AS INT) AS idx, cid AS storage_id, place AS "offset", CAST(length AS BIGINT) AS length FROM r JOIN p USING (source, shard, pack)""")
+@query(f"""WITH RECURSIVE {_PACKS} SELECT pack_id, CAST(idx AS INT) AS idx, cid AS storage_id, place AS "offset", CAST(length AS BIGINT) AS length FROM r JOIN p USING (source, pack)""")
 def pack_entries(spark, sf):
     """All lines in packs, parsed again from the packs' bytes."""
     return packfile.pack_entries(packfile.parse_packs(_packs(spark, sf)))
 
 
-@query(f"""WITH RECURSIVE {_PACKS} SELECT pack_id, place AS "offset", cid AS storage_id, substr(cid, 1, 48) AS nonce, sha256(chunk) AS content_sha256 FROM r JOIN p USING (source, shard, pack) WHERE idx % 3 = 0""")
+@query(f"""WITH RECURSIVE {_PACKS} SELECT pack_id, place AS "offset", cid AS storage_id, substr(cid, 1, 48) AS nonce, sha256(chunk) AS content_sha256 FROM r JOIN p USING (source, pack) WHERE idx % 3 = 0""")
 def pack_record_reads(spark, sf):
     """Every third record of the packs read at its place."""
     packs = _packs(spark, sf).select("pack_id", "content")
@@ -370,7 +370,7 @@ def pack_record_reads(spark, sf):
 @query(f"""WITH RECURSIVE {_PACKS} SELECT 'pack-checksum-mismatch' AS code, 'error' AS severity, pack_id AS resource, 'Packfile failed its trailer checksum' AS summary, 'checksum mismatch' AS detail,
   'Restore this pack from a replicated copy or another backup of the repository.' AS hint FROM p WHERE pack = 0""")
 def scrub_issues(spark, sf):
-    """The packs of all lines, with a byte changed in the first pack of each writer."""
+    """The packs of all lines, with a byte changed in the first pack of each source."""
     damaged = F.when(F.col("pack") == 0, F.concat(F.expr("substring(content, 1, 99)"), F.unhex(F.lit("ff")), F.expr("substring(content, 101)"))).otherwise(F.col("content"))
     return integrity.scrub(packfile.parse_packs(_packs(spark, sf).withColumn("content", damaged)))
 
