@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,7 +127,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, defau
     universe = work.write(judged.select(F.explode_outer(keys).alias("key")).filter("key is not null").distinct(), "universe")
     n, parts = universe.count(), max(1, math.ceil(max(len(blocked), len(allowed)) / most))
     for part in range(parts):
-        mine = lambda k, part=part: _part(k, parts) == part
+        mine = _is_of(part, parts)
         own = lambda listed: listed if parts == 1 else {r[0] for r in _key_table(pages.sparkSession, listed).filter(mine(F.col("key"))).collect()}
         asked = universe if parts == 1 else universe.filter(mine(F.col("key")))
         block, allow = (Cascade(own(k), asked, 2 * part + i, first_rate, later_rate, n) for i, k in enumerate((blocked, allowed)))
@@ -140,5 +140,5 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, defau
     return judged.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
-def _part(key: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts))
+def _is_of(part: int, parts: int) -> Callable[[Column], Column]:
+    return lambda key: F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts)) == part
