@@ -32,7 +32,8 @@ ADDED = ["n_lines", "removed_lines"]
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, maximal: bool = True) -> DataFrame:
     """The runs of lines to delete: doc_id, tkey (128 bits of the text), runs (sorted array of start, last, and before, the line after the last run; lines from 0), for rows that have any."""
     work = Workspace(docs.sparkSession, "linededup")
-    rows = docs.select(F.col("doc_id").cast("long"), F.md5(text_or_empty()).alias("tkey"), F.posexplode_outer(F.split("text", "\n")).alias("line", "s"))
+    keyed = docs.select(F.col("doc_id").cast("long"), F.md5(text_or_empty()).alias("tkey"), "text")  # once a text, not once a line
+    rows = keyed.select(*ID, F.posexplode_outer(F.split("text", "\n")).alias("line", "s"))
     lines = rows.filter(F.col("s").rlike(r"[^\x20\x09-\x0D]")).select(*ID, "line", F.unhex(F.md5("s")).alias("h"), word_count(F.col("s")).alias("words"))
     own = Window.partitionBy(*ID).orderBy("line")
     lines = lines.withColumn("again", F.lag("line").over(own).eqNullSafe(F.col("line"))).filter(~F.col("again"))  # of rows that repeat wholly one counts
