@@ -1,12 +1,22 @@
 """Findings of the first round's review: each test is of one of them."""
 
+import hashlib
+import math
+import time
+
 import numpy as np
+import public_tokenizers
 import pytest
-from brute import jaccard_components
+from brute import jaccard_components, judge, repeated_lines
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from cairnlake.llm import components, ngramjoin
+import corpus_pipeline
+from cairnlake.llm import components, exactdedup, linededup, mix, ngramjoin, packing, pii, quality, tokencount, transducer, urlfilter
 from cairnlake.llm.common import Workspace
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def rows(df):
     return [tuple(r) for r in df.collect()]
@@ -51,3 +61,193 @@ def test_ngram_join_of_hot_keys(spark, monkeypatch, hot):
     docs += [(500 + i, docs[7 * i][1] + f" end{i}") for i in range(25)] + [(900 + i, docs[i][1]) for i in range(10)]
     got = sorted(rows(ngramjoin.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"))))
     assert got == jaccard_components(docs)
+
+
+# ---- packing ------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("lengths", [[2500] * 400, [2500, 1500, 90] * 120, list(range(1, 4096, 11))])
+def test_packing_in_small_groups(spark, monkeypatch, lengths):
+    """Loose sequences of every group: few rounds, no task with more than its group, and no more sequences than a task for all would make, but for the groups' last ones."""
+    written = []
+    write = Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name: written.append(name) or write(self, df, name))
+    parts = spark.createDataFrame([(i, 0, 0, n, 0, i) for i, n in enumerate(lengths)], packing.PIECE).repartition(3)
+    got = packing.pack(parts, group_pieces=40).collect()
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(r["doc_id"] for r in got) == list(range(len(lengths)))
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= packing.SEQUENCE
+    best = len(packing.best_two_fit(sorted(lengths, reverse=True)))
+    assert len(places) <= best + math.ceil(len(lengths) / 40) and sum(n.startswith("turn") for n in written) <= 2 + math.log2(len(lengths))
+
+
+# ---- personal data ------------------------------------------------------------------------------------
+
+
+def secret(rng, n=40):
+    return "".join(rng.choice(list("0123456789abcdef"), n))
+
+
+def test_secrets_are_found_and_clean_texts_left_alone(spark):
+    """Keys, tokens and hashes become spans at the production parameters; words, codes and numbers of clean texts don't."""
+    rng = np.random.default_rng(8)
+    words = [*"the of and to in is that it was for on are as with his they be at one have this from".split(), "mp3", "covid19", "x86", "4x4", "B2B", "1984", "2024", "A4", "http2", "utf8"]
+    clean = [(i, " ".join(rng.choice(words, 60))) for i in range(400)]
+    told = {1000 + i: secret(rng) for i in range(60)}
+    docs = clean + [(d, " ".join([*rng.choice(words, 20), f'token = "{s}"', *rng.choice(words, 20)])) for d, s in told.items()]
+    got = {r["doc_id"]: r for r in pii.digest(pii.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string"))).collect()}
+    text = dict(docs)
+    found = sum(any(text[d][int(a) : int(b)] == s for _, a, b in (x.split(":") for x in got[d]["spans"].split(","))) for d, s in told.items() if got[d]["spans"])
+    assert found >= 0.9 * len(told) and all(not got[d]["spans"] and got[d]["n_spans"] == 0 for d, _ in clean)
+
+
+def test_spans_of_one_long_text(spark):
+    """A hundred thousand matches in a text: the cost is linear in them."""
+    n = 100_000
+    text = " ".join(f"m{i}@x.org" for i in range(n))
+    df = spark.createDataFrame([(1, text), (2, "nothing here")], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in pii.digest(pii.find_personal_data(df)).select("doc_id", "n_email", "base_sha256").collect()}
+    assert got[1]["n_email"] == n and got[2]["n_email"] == 0 and time.monotonic() - began < 120
+    at, spans = 0, []
+    for w in text.split(" "):
+        spans.append(f"email:{at}:{at + len(w)}")
+        at += len(w) + 1
+    assert got[1]["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
+
+
+def test_sanitise_keeps_all_else(spark):
+    text = "Call +1 (017) 555-7713 or mail é😀 a@b.cd, x"
+    docs = [(None, text, 1), (1, text, 2), (1, None, 3), (2, "", 4), (3, "plain 😀", 5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, tkey int").withColumn("runs", F.lit(1)).withColumn("chars", F.lit(2))
+    clean = pii.sanitise(df, share=2.0)
+    assert clean.columns == df.columns
+    want = "Call [phone] or mail é😀 [email], x"
+    assert sorted(rows(clean), key=lambda r: r[2]) == [(None, want, 1, 1, 2), (1, want, 2, 1, 2), (1, None, 3, 1, 2), (2, "", 4, 1, 2), (3, "plain 😀", 5, 1, 2)]
+    assert rows(pii.sanitise(df.limit(0))) == []
+
+
+# ---- line dedup ---------------------------------------------------------------------------------------
+
+
+def test_one_fingerprint_extends_both_ways(spark):
+    """Two copies of a run of seven lines in different surroundings, with a single window of the least size in common around their fingerprint at most places."""
+    lines = [" ".join(f"l{k}w{i}" for i in range(n)) for k, n in enumerate((9, 20, 60, 7, 30, 4, 8))]
+    docs = [(1, "\n".join(["one", *lines, "two"])), (2, "\n".join(["three", "", *lines[:4], "  ", *lines[4:], "four"])), (3, "\n".join(lines[:2]))]
+    clean = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert clean[2]["removed_lines"] == list(range(2, 10)) and clean[2]["text"] == "three\n\nfour" and not clean[1]["removed_lines"] and not clean[3]["removed_lines"]
+    assert repeated_lines(docs) == {2: list(range(2, 10))}
+
+
+def test_line_dedup_is_linear(spark):
+    run = "\n".join(f"line {i} of a run that stands twice in one text" for i in range(20_000))
+    began = time.monotonic()
+    r = linededup.dedup_lines(spark.createDataFrame([(1, f"{run}\nmiddle\n{run}")], "doc_id long, text string")).first()
+    assert r["n_lines"] == 40_001 and r["removed_lines"] == list(range(20_001, 40_001)) and r["text"] == f"{run}\nmiddle" and time.monotonic() - began < 90
+
+
+# ---- names, nulls, repeats, empty tables --------------------------------------------------------------
+
+NAMES = "n_lines removed_lines __key __id __epoch __size __taken __sha __first tkey row size taken epoch group digit bytes id turn open lines runs none n_chars".split()
+
+
+def test_clashing_names(spark):
+    docs = [(1, "a b c", "s"), (1, "a b c", "s"), (None, None, None), (2, "", "t"), (3, "a b c", "t"), (None, "d e", "s")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").select("*", *(F.lit(i).alias(n) for i, n in enumerate(NAMES)))
+    clean = linededup.dedup_lines(df)
+    assert sorted(clean.columns) == sorted(df.columns) and clean.count() == len(docs) and clean.agg(F.max("n_lines")).first()[0] == 1
+    for f in (exactdedup.exact_dedup, mix.mixed_documents, ngramjoin.one_of_each, pii.sanitise, lambda d: quality.keep_good(d, spark.createDataFrame([], "doc_id long, quality int"))):
+        out = f(df)
+        assert out.columns == df.columns and out.count() > 0 and {r["__sha"] for r in out.select("__sha").collect()} == {NAMES.index("__sha")}
+        assert rows(f(df.limit(0))) == []
+
+
+def test_exact_dedup_of_repeats(spark):
+    docs = [(7, "x" * 600), (7, "x" * 600), (7, "y" * 600), (5, "x" * 600), (None, "z" * 70), (None, "z" * 70), (None, ""), (4, None), (9, "x" * 599)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    kept = sorted(rows(exactdedup.exact_dedup(df)), key=str)
+    assert kept == sorted([(7, "x" * 600), (7, "y" * 600), (None, "z" * 70), (4, None), (9, "x" * 599)], key=str)
+    groups = {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"]) for r in exactdedup.exact_groups(df).collect()}
+    assert groups[5, hashlib.sha256(b"x" * 600).hexdigest()] == (7, 3) and groups[7, hashlib.sha256(b"y" * 600).hexdigest()] == (7, 1)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null texts and ids, repeats and an empty table go through all stages."""
+    docs = [(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (None, None, None, None, None), (2, "", "en", "t", 0), (3, " ".join(f"w{i}" for i in range(90)), "en", "t", 5), (None, "d e", "en", "s", 3)]
+    full = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, df in (("full", full), ("none", full.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert {r["doc_id"] for r in out} >= {1, 3, None} and all(r["length"] > 0 for r in out)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+# ---- url filters, tokens, quality ---------------------------------------------------------------------
+
+
+def test_urls_of_a_long_list(spark):
+    """More rules than one cascade takes: passes by hash, the same verdicts."""
+    rules = [("block" if i % 3 else "allow", f"h{i % 50}.org/{'p' * (i % 7)}{i}") for i in range(300)] + [("allow", "org/")]
+    urls = [(i, f"http://a.h{i % 55}.org/{'p' * (i % 7)}{i}/x") for i in range(400)] + [(900, None)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    want = sorted(((i, *judge(u, rules)) for i, u in urls), key=str)
+    for most in (1000, 70):
+        assert sorted(rows(urlfilter.judge_urls(pages, rules, most=most)), key=str) == want
+
+
+@pytest.mark.parametrize("fan_in", [256, 2])
+def test_token_counts_by_a_tree(spark, fan_in):
+    texts = ["x" * 500, "a1b2," * 90, "it's we'll <|endoftext|> né " * 30, "word " * 200, "日本語" * 60 + " 'S", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    library = Tokenizer.from_file(TOKENIZER)
+    want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["n_tokens"] for r in tokencount.count_tokens(df, TOKENIZER, chunk=16, fan_in=fan_in).collect()} == want
+
+
+def test_maps_of_texts_without_blanks_are_short():
+    counter = transducer.token_counter(TOKENIZER)
+    chunk = b"https://example.org/a1b2c3?x=1&y=2," * 3000
+    head, middle, tail = tokencount.chunk_map(counter, chunk)
+    assert len(head) < 10 and len(tail) < 10 and middle > 1000
+
+
+def test_measures_of_scripts():
+    question = [quality.measures(t)[9] for t in ("你好世界这是句子", "a plain sentence", "why?! so")]
+    assert question[0] == question[1] == 0 and question[2] > 0
+    assert quality.measures("ПРИВЕТ мир")[3] == pytest.approx(6 / 9) and quality.measures("你好 世界")[5] == pytest.approx(4 / 5)
+
+
+def test_ranker_against_plain_python():
+    """The fit as gradient steps over pairs one by one, and the area under the curve on rows it has not seen."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4))
+    better = (x[:, 0] - 0.5 * x[:, 1] + 0.3 * rng.normal(size=300)) > 0
+    train, test = slice(0, 200), slice(200, 300)
+    ranker = quality.Ranker(x[train], better[train])
+    z = [[float(v > e) for j, edges in enumerate(ranker.edges) for e in edges for v in [row[j]]] for row in x[train]]
+    good, bad = [i for i in range(200) if better[i]], [i for i in range(200) if not better[i]]
+    again = np.random.default_rng(0)
+    a, b = again.choice(np.array(good), quality.PAIRS), again.choice(np.array(bad), quality.PAIRS)
+    pairs, counts = np.unique(np.stack([a, b]), axis=1, return_counts=True)
+    w, speed = np.zeros(len(z[0])), np.zeros(len(z[0]))
+    zs = np.array(z)
+    for _ in range(quality.ROUNDS):
+        pull = np.zeros(len(w))
+        for i, j, n in zip(*pairs, counts):
+            d = zs[i] - zs[j]
+            pull += n * d / (1 + math.exp(min(30, max(-30, float(d @ w)))))
+        speed = 0.9 * speed + quality.DECAY * w - pull / quality.PAIRS
+        w = w - quality.RATE * speed
+    assert np.allclose(w, ranker.weights, atol=1e-4)
+    scores = ranker.score(x[test])
+    pos, neg = scores[better[test]], scores[~better[test]]
+    assert np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg]) > 0.9
+    assert (ranker.score(x[train]) < quality.CUT).mean() == pytest.approx((~better[train]).mean(), abs=0.02)
