@@ -13,8 +13,9 @@ Equal sets are one class from the start. Documents under one key are candidates:
 a larger one each document with the smallest (the leader). Sizes, and the number of keys that a pair shares, exclude
 most pairs before any set is compared. Candidates are verified; components follow from the links.
 
-The first round knows frequent tokens only as far as tasks see them. Where a leader's documents still are in several components, these documents go
-into a second round, among themselves, with the exact counts of all their tokens, which leaves few keys in large groups. What is open after that is
+Tokens are counted over the whole corpus; what is broadcast of the frequent ones is bounded, so in a very large corpus some frequent tokens count as
+rare. Where a leader's documents still are in several components, these documents go into a second round, among themselves, with the counts
+of their tokens alone, which leaves few keys in large groups. What is open after that is
 compared in blocks, less those pairs whose distances to the leader exclude a link (Jaccard distance is a metric). Every pair that shares a key is thus linked
 through its component, excluded by a bound, or verified: no link is lost, and large groups of copies are never expanded into all pairs. A key that a
 great many documents share needs no task of its own: its leader is known beforehand, and its documents meet it where they are read.
@@ -28,6 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +38,9 @@ from .components import connected_components
 from .shingles import MULTIPLIERS, mixed, shingle_sets
 
 WORDS, PERCENT = 5, 75
-#: A token is of the frequent class if it occurs in so many documents, as far as tasks see it LOCAL times or
-#: more; of these at most MOST_FREQUENT, the most frequent. The class bears on cost only, never on the result.
-FREQUENT, LOCAL, MOST_FREQUENT, BLOCK_TOKENS = 16, 3, 500_000, 4_000_000
+#: A token is of the frequent class if it occurs in so many documents; of these at most MOST_FREQUENT, the most frequent (a bound
+#: on what is broadcast). The class bears on cost only, never on the result. Tokens are counted in blocks of so many, dealt by ranges of their hashes.
+FREQUENT, MOST_FREQUENT, BLOCK_TOKENS, MOST_RANGES = 16, 2_000_000, 4_000_000, 65_536
 #: A key is known beforehand to be hot if it occurs in so many documents, as far as tasks see it LOCAL_HOT times or more among BLOCK_TOKENS; of these the MOST_FREQUENT. It bears on cost only.
 HOT, LOCAL_HOT = 20_000, 64
 #: All pairs of a group of so many documents are candidates; a larger one goes by its leader.
@@ -77,19 +79,33 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
     return np.concatenate(keys), False
 
 
-def _sets(docs: DataFrame, words: int, least: int = LOCAL) -> DataFrame:
-    """(doc_id, n, sig, token, count): a row per document with its set's size and 128-bit signature, and rows of tokens that a task sees `least` times."""
+def _codes(tokens: np.ndarray, ranges: int) -> np.ndarray:
+    """What tokens are counted by: the range of the hash, and its low 32 bits."""
+    return (((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)) << np.uint64(32) | (tokens & np.uint64(0xFFFFFFFF))
 
-    def run(batches):
-        seen, size = [], 0
 
-        def frequent():
-            tokens, counts = np.unique(np.concatenate(seen), return_counts=True)
-            tokens, counts = tokens[counts >= least], counts[counts >= least]
-            none = [pa.nulls(len(tokens), t) for t in (pa.int64(), pa.int64(), pa.binary())]
-            return pa.RecordBatch.from_arrays([*none, pa.array(tokens.view(np.int64)), pa.array(counts)], names)
+def _ranges(docs: DataFrame) -> int:
+    return min(MOST_RANGES, max(64, 16 * docs.rdd.getNumPartitions()))
+
 
-        names = ["doc_id", "n", "sig", "token", "count"]
+def _sets(docs: DataFrame, words: int, ranges: int) -> DataFrame:
+    """(doc_id, n, sig, range, codes): a row per document with its set's size and 128-bit signature, and rows with the tokens of a
+    range that a task has seen, in order, as compressed differences (some three bytes a token)."""
+
+    def run(batches):
+        seen, size, pack = [], 0, zstandard.ZstdCompressor(1).compress
+
+        def counted():
+            codes = _codes(np.concatenate(seen), ranges)
+            codes.sort()
+            cuts = np.searchsorted(codes >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
+            own = np.flatnonzero(np.diff(cuts))
+            low = codes.astype(np.uint32)
+            blobs = [pack(np.diff(low[a:b], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()) for a, b in zip(cuts[own].tolist(), cuts[own + 1].tolist())]
+            none = [pa.nulls(len(own), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(own, pa.int64()), pa.array(blobs, pa.binary())], names)
+
+        names = ["doc_id", "n", "sig", "range", "codes"]
         for batch in batches:
             sizes, sigs = [], []
             for s in shingle_sets(batch.column("text"), words):
@@ -98,31 +114,45 @@ def _sets(docs: DataFrame, words: int, least: int = LOCAL) -> DataFrame:
                 seen.append(s)
                 size += len(s)
                 if size > BLOCK_TOKENS:
-                    yield frequent()
+                    yield counted()
                     seen, size = [], 0
-            none = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), none, none], names)
-        if seen:
-            yield frequent()
+            none = [pa.nulls(len(sizes), t) for t in (pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), *none], names)
+        if size:
+            yield counted()
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, token long, count long")
+    return docs.mapInArrow(run, "doc_id long, n long, sig binary, range long, codes binary")
 
 
 def _frequent(sets: DataFrame):
-    """The frequent class, sorted, as a broadcast of MOST_FREQUENT tokens at most."""
-    counts = sets.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("n")).filter(F.col("n") >= FREQUENT)
-    often = counts.orderBy(F.col("n").desc(), "token").limit(MOST_FREQUENT).select("token").toArrow()["token"].to_numpy()
-    return sets.sparkSession.sparkContext.broadcast(np.sort(often.view(np.uint64)))
+    """The frequent class as a broadcast of codes, sorted, MOST_FREQUENT at most. Counts are over all documents; a range is counted in one task."""
+    least = FREQUENT
+
+    def count(table: pa.Table) -> pa.Table:
+        unpack, parts = zstandard.ZstdDecompressor().decompress, []
+        for blob in table.column("codes").to_pylist():
+            parts.append(np.cumsum(np.frombuffer(unpack(blob), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32))
+        low, counts = np.unique(np.concatenate(parts), return_counts=True)
+        code = low[counts >= least].astype(np.int64) | (table.column("range")[0].as_py() << 32)
+        return pa.table({"code": code, "n": counts[counts >= least].astype(np.int64)})
+
+    counts = sets.filter(F.col("codes").isNotNull()).select("range", "codes").groupBy("range").applyInArrow(count, "code long, n long")
+    often = counts.orderBy(F.col("n").desc(), "code").limit(MOST_FREQUENT).select("code").toArrow()["code"].to_numpy()
+    return sets.sparkSession.sparkContext.broadcast(np.sort(often.astype(np.uint64)))
 
 
-def _keys(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
+def _keys(docs: DataFrame, frequent, ranges: int, words: int, percent: int) -> DataFrame:
     """(doc_id, n, keys): n is the set's size, negative where frequent tokens had to fill the prefix; keys are 8 bytes each."""
 
     def run(batches):
-        often = frequent.value
+        known = frequent.value
         for batch in batches:
             sizes, keys = [], []
             for s in shingle_sets(batch.column("text"), words):
+                often = s[:0]
+                if len(s) and len(known):
+                    codes = _codes(s, ranges)
+                    often = s[known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes]
                 own, full = index_keys(s, often, percent) if len(s) else (s, True)
                 sizes.append(len(s) if full else -len(s))
                 keys.append(own.tobytes())
@@ -308,9 +338,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     spark = docs.sparkSession
     work = Workspace(spark, "ngramjoin")
     docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    sets = work.write(_sets(docs, words), "sets")
+    ranges = _ranges(docs)
+    sets = work.write(_sets(docs, words, ranges), "sets")
     frequent = _frequent(sets)
-    rows = sets.filter(F.col("token").isNull()).select("doc_id", "n", "sig")
+    rows = work.write(sets.filter(F.col("codes").isNull()).select("doc_id", "n", "sig"), "documents")
+    work.drop("sets")
     named = rows.filter(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
     first = work.write(named.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     # What need not be indexed: copies but for each class's first. Ids that repeat may be both; then they are indexed.
@@ -320,7 +352,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     several = named.groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).filter("x <> y").select("doc_id") if repeats else None
     copies = work.write(copies, "copies")
     texts = docs.filter(F.col("doc_id").isNotNull())
-    meetings, judged = _round(work, "first", texts, copies, frequent, None, words, percent)
+    meetings, judged = _round(work, "first", texts, copies, (frequent, ranges), None, words, percent)
     near = F.col("both") * 100 >= F.col("one") * percent
     links = judged.filter(near).select("a", "b")
     roots = connected_components(links, work, "first-roots")
@@ -328,8 +360,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     work.drop("first-meetings", "first-tokens")
     if not open_.isEmpty():
         texts = work.write(texts.join(open_, "doc_id", "left_semi").join(copies, "doc_id", "left_anti"), "texts")
-        frequent = _frequent(_sets(texts, words, 1))
-        meetings, judged = _round(work, "second", texts, None, frequent, roots, words, percent)
+        ranges = _ranges(texts)
+        meetings, judged = _round(work, "second", texts, None, (_frequent(_sets(texts, words, ranges)), ranges), roots, words, percent)
         links = links.union(judged.filter(near).select("a", "b"))
         roots = connected_components(links, work, "second-roots")
         members = work.write(_open_members(meetings, judged, roots, several), "members")
@@ -344,9 +376,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
-def _round(work: Workspace, name: str, texts: DataFrame, copies: DataFrame | None, frequent, roots: DataFrame | None, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _round(work: Workspace, name: str, texts: DataFrame, copies: DataFrame | None, frequent: tuple, roots: DataFrame | None, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(meetings, verified pairs) of texts, but those of copies. Pairs that are in one component of roots already are left out."""
-    keys = _keys(texts, frequent, words, percent)
+    keys = _keys(texts, *frequent, words, percent)
     keys = work.write(keys if copies is None else keys.join(copies, "doc_id", "left_anti"), f"{name}-keys")
     hot = _hot(keys)
     index = _index(keys, hot).repartition(_partitions(work.spark, keys), "key")
