@@ -38,3 +38,15 @@ def connected_components(links: DataFrame, work: Workspace, name: str = "compone
     least = work.write(roots.join(least, "root").select("node", F.col("least").alias("root")), name)
     work.drop(*(f"{name}-step{k}" for k in range(len(steps))), f"{name}-edges{len(steps)}", f"{name}-roots")
     return least
+
+
+def merged_components(roots: DataFrame, links: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """(node, root) as of connected_components() once further links are there; only the components that these join are gone through."""
+    for side in ("a", "b"):
+        links = links.join(roots.toDF(side, "root"), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+    links = work.write(links.filter("a <> b").select("a", "b"), f"{name}-links")
+    if links.isEmpty():
+        return roots
+    moved = connected_components(links, work, f"{name}-moved")
+    known = roots.join(moved.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return work.write(known.unionByName(moved.join(roots.select("node"), "node", "left_anti")), name)

@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, text_or_empty
-from .components import connected_components
+from .components import connected_components, merged_components
 from .shingles import MULTIPLIERS, mixed, shingle_sets
 
 WORDS, PERCENT = 5, 75
 #: A token is of the frequent class if it occurs in so many documents; of these at most MOST_FREQUENT, the most frequent (a bound
 #: on what is broadcast). The class bears on cost only, never on the result. Tokens are counted in blocks of so many, dealt by ranges of their hashes.
-FREQUENT, MOST_FREQUENT, BLOCK_TOKENS, MOST_RANGES = 16, 2_000_000, 4_000_000, 65_536
+FREQUENT, MOST_FREQUENT, BLOCK_TOKENS, MOST_RANGES = 16, 2_000_000, 2_000_000, 65_536
 #: A key is known beforehand to be hot if it occurs in so many documents, as far as tasks see it LOCAL_HOT times or more among BLOCK_TOKENS; of these the MOST_FREQUENT. It bears on cost only.
 HOT, LOCAL_HOT = 20_000, 64
 #: All pairs of a group of so many documents are candidates; a larger one goes by its leader.
@@ -354,22 +354,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     texts = docs.filter(F.col("doc_id").isNotNull())
     meetings, judged = _round(work, "first", texts, copies, (frequent, ranges), None, words, percent)
     near = F.col("both") * 100 >= F.col("one") * percent
-    links = judged.filter(near).select("a", "b")
-    roots = connected_components(links, work, "first-roots")
+    roots = connected_components(judged.filter(near).select("a", "b"), work, "first-roots")
     open_ = work.write(_open_members(meetings, judged, roots, several).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "open")
     work.drop("first-meetings", "first-tokens")
     if not open_.isEmpty():
         texts = work.write(texts.join(open_, "doc_id", "left_semi").join(copies, "doc_id", "left_anti"), "texts")
         ranges = _ranges(texts)
         meetings, judged = _round(work, "second", texts, None, (_frequent(_sets(texts, words, ranges)), ranges), roots, words, percent)
-        links = links.union(judged.filter(near).select("a", "b"))
-        roots = connected_components(links, work, "second-roots")
+        roots = merged_components(roots, judged.filter(near).select("a", "b"), work, "second-roots")
         members = work.write(_open_members(meetings, judged, roots, several), "members")
         asked = members.join(work.write(_open_documents(members, percent), "asked"), ["a", "b"], "left_semi")
         tokens = _token_sets(texts.join(asked.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi"), words)
-        more = work.write(_open_links(asked.join(tokens.toDF("b", "tokens"), "b"), percent), "more")
-        if not more.isEmpty():
-            roots = connected_components(links.union(more), work, "roots")
+        roots = merged_components(roots, _open_links(asked.join(tokens.toDF("b", "tokens"), "b"), percent), work, "roots")
     roots = roots.toDF("rep", "root")
     classes = first.select("sig", "rep").join(roots, "rep", "left").select("sig", F.coalesce("root", "rep").alias("root"))
     out = rows.join(work.write(classes, "roots-of-classes"), "sig", "left")
