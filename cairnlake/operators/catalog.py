@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import label_error, label_normalise, trash_times
@@ -22,7 +22,16 @@ def details(snapshots: DataFrame, lifecycle: DataFrame, statuses: DataFrame | No
 def listing(rows: DataFrame, include_trashed: bool = False) -> DataFrame:
     """Readable snapshots first, newest first, then by id; trashed ones only on request."""
     shown = rows if include_trashed else rows.filter("state <> 'trashed'")
-    return shown.orderBy(F.col("ts").isNull(), F.col("ts").desc(), F.col("snapshot_id"))
+    return shown.orderBy(*_order())
+
+
+def positions(rows: DataFrame) -> DataFrame:
+    """Each series of the catalogue (series) in the listing's order, numbered from 1: snapshot_id, series, position."""
+    return rows.select("snapshot_id", "series", F.row_number().over(Window.partitionBy("series").orderBy(*_order())).alias("position"))
+
+
+def _order() -> list[Column]:
+    return [F.col("ts").isNull(), F.col("ts").desc(), F.col("snapshot_id")]
 
 
 def trash(lifecycle: DataFrame, ids: DataFrame, now: Column, seconds: int = 0) -> DataFrame:

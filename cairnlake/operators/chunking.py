@@ -40,33 +40,48 @@ def gear_table() -> np.ndarray:
 
 
 _GEAR = gear_table()
+_GEAR_LIST = _GEAR.tolist()
+
+
+#: Fingerprints are made of so many bytes at a time, so that their arrays stay in a core's cache.
+BLOCK = 1 << 15
 
 
 def _rolling(gear: np.ndarray) -> np.ndarray:
     """At every byte the fingerprint of the 32 bytes up to it: older ones have left a 32-bit word. Windows double in five steps."""
-    h, width = gear.copy(), 1
-    while width < 32:
-        longer = h.copy()
-        longer[width:] += h[:-width] << np.uint32(width)
-        h, width = longer, 2 * width
+    h, shifted, width = gear, np.empty_like(gear), 1
+    while width < min(32, len(h)):
+        np.left_shift(h[:-width], np.uint32(width), out=shifted[width:])
+        h[width:] += shifted[width:]
+        width *= 2
     return h
 
 
+def _candidates(data: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
+    """The places at which the strict and the normal mask find nothing set."""
+    found = [], []
+    for start in range(0, len(data), BLOCK):
+        lead = min(31, start)
+        h = _rolling(_GEAR[data[start - lead : start + BLOCK]])[lead:]
+        either = np.flatnonzero((h & np.uint32(sizes.strict & sizes.normal)) == 0)
+        for out, mask in zip(found, (sizes.strict, sizes.normal)):
+            out.append(start + either[(h[either] & np.uint32(mask)) == 0])
+    return np.concatenate(found[0]), np.concatenate(found[1])
+
+
 def cut_points(data: bytes, sizes: Sizes = Sizes()) -> list[int]:
     """Ends of the chunks of data. A chunk's fingerprint starts at 0 after its least size, so its first 31 bytes there see a shorter window."""
     n = len(data)
     if not n:
         return []
-    ends, start = [], 0
+    ends, start, gear = [], 0, _GEAR_LIST
     if n > sizes.least:
-        gear = _GEAR[np.frombuffer(data, np.uint8)]
-        full = _rolling(gear)
-        strict, normal = (np.flatnonzero((full & np.uint32(m)) == 0) for m in (sizes.strict, sizes.normal))
+        strict, normal = _candidates(np.frombuffer(data, np.uint8), sizes)
     while n - start > sizes.least:
         low, middle, high = (min(n, start + x) for x in (sizes.least, sizes.target, sizes.most))
         end, fresh, warm = high, 0, min(low + 31, high)
         for i in range(low, warm):
-            fresh = ((fresh << 1) + int(gear[i])) & 0xFFFFFFFF
+            fresh = ((fresh << 1) + gear[data[i]]) & 0xFFFFFFFF
             if not fresh & (sizes.strict if i < middle else sizes.normal):
                 end = i
                 break

@@ -480,6 +480,15 @@ def catalog_search(spark, sf):
     return rows.filter(hit).select("snapshot_id")
 
 
+@query("""SELECT o_orderkey AS snapshot_id, o_custkey AS series, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderdate END DESC, o_orderkey) AS INT) AS position FROM orders""")
+def catalog_positions(spark, sf):
+    """The order of the listing: unreadable snapshots (those of low priority here) last, then newest first, then by id."""
+    rows = t.snapshots(spark, sf)
+    statuses = rows.select("snapshot_id", F.when(F.col("o_orderpriority") == "5-LOW", "auth-failed").otherwise("ok").alias("status"))
+    rows = rows.withColumns({"total_files": F.lit(1), "total_bytes": F.lit(1)})
+    return catalog.positions(catalog.details(rows, t.lifecycle(spark, sf), statuses).withColumn("series", F.col("o_custkey")))
+
+
 # ---- scalar functions -----------------------------------------------------------------------------------
 
 
