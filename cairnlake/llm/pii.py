@@ -140,6 +140,8 @@ def find_personal_data(docs: DataFrame, share: float = SHARE) -> DataFrame:
     # Copies of a text hold the same: they are looked at once, and count as many rows.
     texts = found.filter("text is not null").groupBy("tkey").agg(F.first("text").alias("text"), F.first("steps").alias("steps"), F.count(F.lit(1)).alias("rows"))
     texts = work.write(texts, "texts")
+    found = work.write(found.select("doc_id", "tkey"), "rows")
+    work.drop("found")
     marks = _protected(texts, work, surprise >= math.log(max(2, n["letters"] + n["digits"])))
     name = F.concat_ws(":", "kind", F.when(F.col("kind").isin(2, 3), F.regexp_replace("value", "[^0-9]", "")).otherwise(F.lower("value")))
     held = marks.select("tkey", name.alias("entity")).distinct().join(texts.select("tkey", "rows"), "tkey")
@@ -149,15 +151,21 @@ def find_personal_data(docs: DataFrame, share: float = SHARE) -> DataFrame:
     first = known.groupBy("n_entity", "texts", "x0", "x1").agg(F.min("entity").alias("entity"))
     # n_both is n_entity at most: a term in more texts than `most` cannot reach the share. No pair is lost by that, and few are left.
     most = F.pow(total, F.lit(1 - share)) * F.pow(F.col("n_entity"), F.lit(share)) * (1 + 1e-9)
-    held = work.write(held.join(first.select("entity", "n_entity", most.alias("most")), "entity"), "held")
+    held = work.write(held.join(first.select("entity", "n_entity", F.col("texts").alias("n_texts"), most.alias("most")), "entity"), "held")
     seen = rows.select(F.explode_outer(_words()).alias("term")).filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     own = texts.join(held.groupBy("tkey").agg(F.max("most").alias("bound")), "tkey").select("tkey", "bound", F.explode_outer(_words()).alias("term")).filter("term is not null")
-    own = own.join(seen, "term").filter("n_term <= bound").select("tkey", "term", "n_term")
-    pairs = work.write(held.join(own, "tkey").filter("n_term <= most").select("tkey", "rows", "entity", "n_entity", "term", "n_term"), "pairs")
+    own = work.write(own.join(seen, "term").filter("n_term <= bound").select("tkey", "term", "n_term"), "terms")
+    pairs = held.join(own, "tkey").filter("n_term <= most").select("tkey", "rows", "entity", "n_entity", "n_texts", "term", "n_term")
     information = F.log(total / F.col("n_entity"))
     gain = F.log(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
-    telling = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("rows").alias("n_both")).filter((gain > 0) & (gain >= F.lit(share) * information))
-    told = work.write(pairs.join(telling.select("entity", "term"), ["entity", "term"], "left_semi").select("tkey", "term").distinct(), "told")
+    strong = (gain > 0) & (gain >= F.lit(share) * information)
+    # Where an entity stands in one text only, so does every pair that it is in.
+    alone = pairs.filter("n_texts = 1").withColumn("n_both", F.col("rows")).filter(strong).select("tkey", "term")
+    several = work.write(pairs.filter("n_texts > 1"), "pairs")
+    telling = several.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("rows").alias("n_both")).filter(strong)
+    more = several.join(telling.select("entity", "term"), ["entity", "term"], "left_semi").select("tkey", "term")
+    told = work.write(alone.union(more).distinct(), "told")
+    work.drop("held", "terms", "pairs")
     spots = _told(texts, told)
     terms = _clear(spots, marks).unionByName(marks.filter(F.col("kind") == len(BASE)).select("tkey", "value", "start", "end"))
     spans = terms.withColumn("kind", F.lit(len(BASE))).unionByName(marks.filter(F.col("kind") < len(BASE)))
@@ -167,6 +175,7 @@ def find_personal_data(docs: DataFrame, share: float = SHARE) -> DataFrame:
     )
     spans = spans.groupBy("tkey").agg(listed(F.col("kind") < len(BASE)).alias("base"), listed(F.col("kind") == len(BASE)).alias("terms"))
     spans = work.write(spans, "spans")
+    work.drop("texts", "told", "base", "protected")
     none = F.expr(f"cast(array() as {SPANS})")
     return found.select("doc_id", "tkey").join(spans, "tkey", "left").select("doc_id", "tkey", F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"))
 
