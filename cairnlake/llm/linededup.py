@@ -82,7 +82,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, maximal: bool = Tru
     # No part of the key is null, so that the join deals out rows without an id alike.
     key = lambda c: [F.col(c).isNull().alias("none"), F.coalesce(F.col(c).cast("long"), F.lit(0)).alias("id"), F.col("tkey")]
     rows = docs.toDF(*names).withColumn("tkey", F.md5(text_or_empty(at["text"])))
-    joined = rows.select(*names, *key(at["doc_id"])).join(runs.select(*key("doc_id"), "runs"), ["none", "id", "tkey"], "left")
+    # Runs grow with the corpus: a merge join at every size.
+    joined = rows.select(*names, *key(at["doc_id"])).hint("merge").join(runs.select(*key("doc_id"), "runs").hint("merge"), ["none", "id", "tkey"], "left")
     joined = joined.withColumn("lines", F.when(F.col("runs").isNotNull(), F.split(at["text"], "\n")))
     kept = F.expr("array_join(flatten(concat(transform(runs, r -> slice(lines, r.before + 1, r.start - r.before)), array(slice(lines, element_at(runs, -1).last + 2, size(lines))))), '\n')")
     text, whole = F.when(F.col("runs").isNull(), F.col(at["text"])).otherwise(kept), F.col(at["text"])
