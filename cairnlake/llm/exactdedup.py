@@ -50,7 +50,8 @@ def _rounds(rows: DataFrame, content: Column, shorten: Callable[[DataFrame], Dat
         split = state.withColumn("digit", F.substring(content, at + 1, digit))
         groups = split.groupBy("group", "digit").agg(F.min("row").alias("part"), F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         groups = work.write(groups, f"groups{k}")
-        step = split.join(groups, ["group", "digit"]).withColumn("open", (F.col("group_size") > 1) & (F.octet_length("digit") == digit)).withColumn("turn", F.lit(k))
+        # Groups grow with the corpus: a merge join at every size.
+        step = split.hint("merge").join(groups.hint("merge"), ["group", "digit"]).withColumn("open", (F.col("group_size") > 1) & (F.octet_length("digit") == digit)).withColumn("turn", F.lit(k))
         step = work.write(shorten(step.drop("group", "digit").withColumnRenamed("part", "group")), f"round{k}")
         work.drop(f"groups{k}")
         done.append(step.filter(~F.col("open")))
