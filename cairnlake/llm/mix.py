@@ -99,7 +99,7 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     rows = work.write(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
     own = rows.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"), F.col(at["text"]).alias("text"), "row")
     parts = work.write(_shares(own, [F.xxhash64(text_or_empty()).alias("mark"), F.col("row")], **parameters).select("row", "size", "taken"), "shares")
-    joined = rows.join(parts, "row")
+    joined = rows.hint("merge").join(parts.hint("merge"), "row")  # both grow with the corpus: a merge join at every size
     epochs = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).cast("int")
     turns = joined.filter(epochs > 0).withColumn("epoch", F.explode_outer(F.sequence(F.lit(1), epochs)))
     words = F.when(F.col("size") > 0, F.least(F.col("size"), F.col("taken") - (F.col("epoch") - 1) * F.col("size")))
