@@ -40,7 +40,7 @@ from .shingles import MULTIPLIERS, mixed, shingle_sets
 WORDS, PERCENT = 5, 75
 #: A token is of the frequent class if it occurs in so many documents; of these at most MOST_FREQUENT, the most frequent (a bound
 #: on what is broadcast). The class bears on cost only, never on the result. Tokens are counted in blocks of so many, dealt by ranges of their hashes.
-FREQUENT, MOST_FREQUENT, BLOCK_TOKENS, MOST_RANGES = 16, 2_000_000, 2_000_000, 65_536
+FREQUENT, MOST_FREQUENT, BLOCK_TOKENS, MOST_RANGES = 16, 2_000_000, 1_000_000, 65_536
 #: A key is known beforehand to be hot if it occurs in so many documents, as far as tasks see it LOCAL_HOT times or more among BLOCK_TOKENS; of these the MOST_FREQUENT. It bears on cost only.
 HOT, LOCAL_HOT = 20_000, 64
 #: All pairs of a group of so many documents are candidates; a larger one goes by its leader.
@@ -161,6 +161,13 @@ def _keys(docs: DataFrame, frequent, ranges: int, words: int, percent: int) -> D
     return docs.mapInArrow(run, "doc_id long, n int, keys binary")
 
 
+def _small(batches, some: int = 500):
+    """Batches of some rows each: what is made of one is held at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, some):
+            yield batch.slice(start, some)
+
+
 def _rows_of(batch: pa.RecordBatch, some: int = 500):
     """(key, doc_id, n) as numpy arrays, a row for each key, of some documents at a time."""
     for start in range(0, batch.num_rows, some):
@@ -311,7 +318,7 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     """pairs (a, b, star) with both and one: sizes of intersection and union."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
             both, one = [], []
             for p, q in zip(x, y):
@@ -403,7 +410,7 @@ def _partitions(spark, keys: DataFrame) -> int:
 
 def _token_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             sets = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), words)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], ["doc_id", "tokens"])
 

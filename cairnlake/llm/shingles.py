@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed at once; memory is some 40 times as much.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _RANDOM = np.random.default_rng(1)
 #: One for each word of a shingle, and one for each byte of a word; blanks have 0. Any odd numbers will do.
 MULTIPLIERS = np.array([m | 1 for m in _RANDOM.integers(0, 2**64, 64, dtype=np.uint64).tolist()], np.uint64)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from .transducer import LATIN, character_class, latin_pattern
 
 #: Words and pre-tokens whose ids a worker keeps at once, and pre-tokens that are encoded at once.
-MOST_WORDS, MOST_PARTS, AT_ONCE = 1_000_000, 600_000, 2000
+MOST_WORDS, MOST_PARTS, AT_ONCE = 400_000, 250_000, 2000
 LAST = chr(LATIN)
 #: Pre-tokens that are known as such: white space parts them and nothing in them changes.
 _PLAIN = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
