@@ -28,13 +28,13 @@ SEQUENCE, END_ID, GROUP_PIECES, LOOSE, TEXTS = 4096, 1, 100_000, 0.98, 200
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, memory: int = 1) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32, and row (numbers the input's rows)."""
     end = int(end_id).to_bytes(4, "little")
     step = 4 * sequence
 
     def cut(batches):
-        ids = word_ids(tokenizer)
+        ids = word_ids(tokenizer, memory)
         for batch in batches:
             at, out = [], []
             for k, b in enumerate(_few_at_a_time(ids, batch.column("text"))):
@@ -154,10 +154,11 @@ def pack(parts: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_P
     return out.drop("row")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, **parameters) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, memory: int = 1, **parameters) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document's tokens are its text's ids (null and blank texts have none) and end_id; so every row of docs
     has a piece, rows that repeat a doc_id (or have none) each their own. Other columns are not read; no rows give no rows.
+    memory: of words in a worker, as a multiple of the least; it bears on time only.
     """
-    return pack(pieces(docs, tokenizer, sequence, end_id), sequence, **parameters)
+    return pack(pieces(docs, tokenizer, sequence, end_id, memory), sequence, **parameters)

@@ -19,10 +19,12 @@ from .transducer import LATIN, character_class, latin_pattern
 
 #: Words and pre-tokens whose ids a worker keeps at once, and pre-tokens that are encoded at once.
 MOST_WORDS, MOST_PARTS, AT_ONCE = 400_000, 250_000, 2000
+#: The same as a multiple, for a job that has its workers to itself.
+ALONE = 3
 LAST = chr(LATIN)
 #: Pre-tokens that are known as such: white space parts them and nothing in them changes.
 _PLAIN = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
-_OPEN: dict[str, "WordIds"] = {}
+_OPEN: dict[tuple[str, int], "WordIds"] = {}
 
 
 def forget_half(memory: dict) -> None:
@@ -34,7 +36,7 @@ def forget_half(memory: dict) -> None:
 class WordIds:
     """Ids as little-endian unsigned 32-bit integers; words and pre-tokens are bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = 1):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -48,6 +50,7 @@ class WordIds:
         suffix = spec["model"]["end_of_word_suffix"]
         self.ends = np.array([t.endswith(suffix) for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])])
         self.latin = latin_pattern(functools.partial(character_class, self.tokenizer))
+        self.most_words, self.most_parts = memory * MOST_WORDS, memory * MOST_PARTS
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
@@ -78,7 +81,7 @@ class WordIds:
         self.words.update(zip(odd, self._encode(self.tokenizer, [w.decode("utf-8") for w in odd]) if odd else ()))
         needed = set().union(*(own for own in cut.values() if own))
         parts = self.parts
-        if len(parts) + len(needed) > MOST_PARTS:
+        if len(parts) + len(needed) > self.most_parts:
             forget_half(parts)
         self._learn_parts([p for p in needed if p not in parts])
         self.words.update((word, parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])) for word, own in cut.items() if own is not None)
@@ -90,7 +93,7 @@ class WordIds:
         for t in texts:
             flat += t.split()
             ends.append(len(flat))
-        if len(self.words) > MOST_WORDS:
+        if len(self.words) > self.most_words:
             forget_half(self.words)
         ids = list(map(self.words.get, flat))
         if new := [i for i, x in enumerate(ids) if x is None]:
@@ -100,7 +103,7 @@ class WordIds:
         return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _OPEN:
-        _OPEN[path] = WordIds(path)
-    return _OPEN[path]
+def word_ids(path: str, memory: int = 1) -> WordIds:
+    if (path, memory) not in _OPEN:
+        _OPEN[path, memory] = WordIds(path, memory)
+    return _OPEN[path, memory]
