@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_or_empty
+from .common import Workspace, in_parts, text_or_empty
 from .components import connected_components, merged_components
 from .shingles import MULTIPLIERS, mixed, shingle_sets
 
@@ -47,6 +47,9 @@ HOT, LOCAL_HOT = 20_000, 64
 SMALL = 32
 #: Documents of one leader meet in blocks of about so many.
 BLOCK = 1000
+#: Pairs that a task compares at least.
+PAIRS_A_PART = 20_000
+
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
@@ -295,8 +298,8 @@ def _and_end(batches):
     yield None
 
 
-def _candidates(meetings: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) that sizes and counts of shared keys do not exclude; those of large groups with their leader stay all (star).
+def _candidates(meetings: DataFrame, percent: int, n: int) -> DataFrame:
+    """Distinct pairs (a, b) of n meetings that sizes and counts of shared keys do not exclude; those of large groups with their leader stay all (star).
 
     Where rare tokens fill both prefixes, the shared keys are the tokens shared within the prefixes, and at most
     ceil(share * n) - 1 of the larger set can be shared beyond; keys in large groups are counted as if shared.
@@ -305,7 +308,7 @@ def _candidates(meetings: DataFrame, percent: int) -> DataFrame:
     stars = meetings.filter("star")
     big = stars.groupBy(F.col("b").alias("doc_id")).agg(F.count(F.lit(1)).alias("big"))
     x, y = F.abs("na"), F.abs("nb")
-    counts = counts.withColumns({"x": F.least(x, y).cast("long"), "y": F.greatest(x, y).cast("long")}).filter(f"100 * x >= {percent} * y")
+    counts = in_parts(counts.withColumns({"x": F.least(x, y).cast("long"), "y": F.greatest(x, y).cast("long")}).filter(f"100 * x >= {percent} * y"), n)
     for side in ("a", "b"):
         counts = counts.join(big.withColumnsRenamed({"doc_id": side, "big": f"big_{side}"}), side, "left")
     most = F.col("c") + F.least(F.coalesce("big_a", F.lit(0)), F.coalesce("big_b", F.lit(0)))
@@ -314,8 +317,8 @@ def _candidates(meetings: DataFrame, percent: int) -> DataFrame:
     return both.groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
-def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """pairs (a, b, star) with both and one: sizes of intersection and union."""
+def _verified(pairs: DataFrame, tokens: DataFrame, n: int) -> DataFrame:
+    """The n pairs (a, b, star) with both and one: sizes of intersection and union."""
 
     def run(batches):
         for batch in _small(batches):
@@ -331,7 +334,8 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
     x, y = tokens.toDF("a", "x"), tokens.toDF("b", "y")
     # Pairs grow with the corpus: they are never broadcast, at any size.
-    return pairs.hint("merge").join(x.hint("merge"), "a").hint("merge").join(y.hint("merge"), "b").select("a", "b", "star", "x", "y").mapInArrow(run, "a long, b long, star boolean, both long, one long")
+    joined = pairs.hint("merge").join(x.hint("merge"), "a").hint("merge").join(y.hint("merge"), "b").select("a", "b", "star", "x", "y")
+    return in_parts(joined, n, PAIRS_A_PART).mapInArrow(run, "a long, b long, star boolean, both long, one long")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -349,33 +353,34 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     sets = work.write(_sets(docs, words, ranges), "sets")
     frequent = _frequent(sets)
     rows = work.write(sets.filter(F.col("codes").isNull()).select("doc_id", "n", "sig"), "documents")
+    total = rows.count()
     work.drop("sets")
     named = rows.filter(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
-    first = work.write(named.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    first = work.write(in_parts(named.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), total), "classes")
     # What need not be indexed: copies but for each class's first. Ids that repeat may be both; then they are indexed.
     copies = named.join(first.filter("copies > 1"), "sig").filter("doc_id <> rep").select("doc_id").distinct()
     repeats = _repeats(rows)
     copies = copies.join(first.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti") if repeats else copies
     several = named.groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).filter("x <> y").select("doc_id") if repeats else None
-    copies = work.write(copies, "copies")
+    copies = work.write(in_parts(copies, total), "copies")
     texts = docs.filter(F.col("doc_id").isNotNull())
     meetings, judged = _round(work, "first", texts, copies, (frequent, ranges), None, words, percent)
     near = F.col("both") * 100 >= F.col("one") * percent
     roots = connected_components(judged.filter(near).select("a", "b"), work, "first-roots")
-    open_ = work.write(_open_members(meetings, judged, roots, several).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "open")
+    open_ = work.write(in_parts(_open_members(meetings, judged, roots, several).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), total), "open")
     work.drop("first-meetings", "first-tokens")
     if not open_.isEmpty():
         texts = work.write(texts.join(open_, "doc_id", "left_semi").join(copies, "doc_id", "left_anti"), "texts")
         ranges = _ranges(texts)
         meetings, judged = _round(work, "second", texts, None, (_frequent(_sets(texts, words, ranges)), ranges), roots, words, percent)
         roots = merged_components(roots, judged.filter(near).select("a", "b"), work, "second-roots")
-        members = work.write(_open_members(meetings, judged, roots, several), "members")
-        asked = members.join(work.write(_open_documents(members, percent), "asked"), ["a", "b"], "left_semi")
+        members = work.write(in_parts(_open_members(meetings, judged, roots, several), meetings.count()), "members")
+        asked = members.join(work.write(in_parts(_open_documents(members, percent), members.count()), "asked"), ["a", "b"], "left_semi")
         tokens = _token_sets(texts.join(asked.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi"), words)
         roots = merged_components(roots, _open_links(asked.join(tokens.toDF("b", "tokens"), "b"), percent), work, "roots")
     roots = roots.toDF("rep", "root")
     classes = first.select("sig", "rep").join(roots, "rep", "left").select("sig", F.coalesce("root", "rep").alias("root"))
-    out = rows.join(work.write(classes, "roots-of-classes"), "sig", "left")
+    out = rows.join(work.write(in_parts(classes, total), "roots-of-classes"), "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
@@ -384,27 +389,29 @@ def _round(work: Workspace, name: str, texts: DataFrame, copies: DataFrame | Non
     keys = _keys(texts, *frequent, words, percent)
     keys = work.write(keys if copies is None else keys.join(copies, "doc_id", "left_anti"), f"{name}-keys")
     hot = _hot(keys)
-    index = _index(keys, hot).repartition(_partitions(work.spark, keys), "key")
+    n = keys.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    index = in_parts(_index(keys, hot).repartition(_partitions(work.spark, n), "key"), n // 8, 500_000)
     meetings = work.write(_meetings(index).unionByName(_hot_meetings(keys, hot)), f"{name}-meetings")
     work.drop(f"{name}-keys")
-    pairs = _candidates(meetings, percent)
+    n = meetings.count()
+    pairs = _candidates(meetings, percent, n)
     if roots is not None:
         for side in ("a", "b"):
             pairs = pairs.join(roots.toDF(side, f"root_{side}"), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
         pairs = pairs.filter("root_a <> root_b").select("a", "b", "star")
-    pairs = work.write(pairs, f"{name}-pairs")
-    ids = work.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+    pairs = work.write(in_parts(pairs, n), f"{name}-pairs")
+    n = pairs.count()
+    ids = work.write(in_parts(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), n), f"{name}-ids")
     tokens = work.write(_token_sets(texts.join(ids, "doc_id", "left_semi"), words), f"{name}-tokens")
-    return meetings, work.write(_verified(pairs, tokens), f"{name}-judged")
+    return meetings, work.write(_verified(pairs, tokens, n), f"{name}-judged")
 
 
 def _repeats(rows: DataFrame) -> bool:
     return not rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").isEmpty()
 
 
-def _partitions(spark, keys: DataFrame) -> int:
-    """A million index rows a partition."""
-    total = keys.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+def _partitions(spark, total: int) -> int:
+    """A million index rows a partition; total: bytes of keys."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 8_000_000 + 1)
 
 
@@ -430,7 +437,9 @@ def _open_members(meetings: DataFrame, first_links: DataFrame, roots: DataFrame,
     if several is not None:
         for side in ("a", "b"):
             members = members.join(several.select(F.col("doc_id").alias(side), F.lit(True).alias("several")), side, "left").withColumn("d", F.when(F.col("several").isNull(), F.col("d"))).drop("several")
-    members = members.join(docs, "b").join(roots.toDF("b", "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    n = meetings.count()
+    members = in_parts(members, n).join(docs, "b").join(roots.toDF("b", "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    members = in_parts(members, n)
     groups = members.groupBy("a", "root").agg(F.count(F.lit(1)).alias("k"))
     largest = groups.groupBy("a").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count(F.lit(1)).alias("components"), F.sum("k").alias("size"))
     members = members.join(largest.filter("components > 1"), "a").filter("a <> b").withColumn("rest", F.col("root") != F.col("largest"))
