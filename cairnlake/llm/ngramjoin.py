@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, in_parts, text_or_empty
+from .common import Workspace, in_parts, lean, text_or_empty
 from .components import connected_components, merged_components
 from .shingles import MULTIPLIERS, mixed, shingle_sets
 
@@ -124,7 +124,7 @@ def _sets(docs: DataFrame, words: int, ranges: int) -> DataFrame:
         if size:
             yield counted()
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, range long, codes binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, sig binary, range long, codes binary")
 
 
 def _frequent(sets: DataFrame):
@@ -161,7 +161,7 @@ def _keys(docs: DataFrame, frequent, ranges: int, words: int, percent: int) -> D
                 keys.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], ["doc_id", "n", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, keys binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n int, keys binary")
 
 
 def _small(batches, some: int = 500):
@@ -205,7 +205,7 @@ def _hot(keys: DataFrame):
         if size:
             yield found()
 
-    seen = keys.mapInArrow(run, "key long, count long, doc_id long, n int")
+    seen = keys.mapInArrow(lean(run), "key long, count long, doc_id long, n int")
     hot = seen.groupBy("key").agg(F.sum("count").alias("count"), F.min(F.struct("doc_id", "n")).alias("leader")).filter(F.col("count") >= HOT)
     hot = hot.orderBy(F.col("count").desc(), "key").limit(MOST_FREQUENT).select("key", "leader.doc_id", "leader.n").toArrow().sort_by("key")
     return keys.sparkSession.sparkContext.broadcast(tuple(hot[c].to_numpy() for c in ("key", "doc_id", "n")))
@@ -221,7 +221,7 @@ def _index(keys: DataFrame, hot) -> DataFrame:
                 cold = ~np.isin(key, known)
                 yield pa.RecordBatch.from_arrays([pa.array(x[cold]) for x in (key, doc, n)], ["key", "doc_id", "n"])
 
-    return keys.mapInArrow(run, "key long, doc_id long, n int")
+    return keys.mapInArrow(lean(run), "key long, doc_id long, n int")
 
 
 def _hot_meetings(keys: DataFrame, hot) -> DataFrame:
@@ -238,7 +238,7 @@ def _hot_meetings(keys: DataFrame, hot) -> DataFrame:
                 at, doc, n = at[hit], doc[hit], n[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (leader[at], doc, size[at], n)] + [pa.array(np.full(len(doc), True))], MEETING)
 
-    return keys.mapInArrow(run, "a long, b long, na int, nb int, star boolean")
+    return keys.mapInArrow(lean(run), "a long, b long, na int, nb int, star boolean")
 
 
 MEETING = ["a", "b", "na", "nb", "star"]
@@ -290,7 +290,7 @@ def _meetings(rows: DataFrame) -> DataFrame:
                 leader, end = (key[-1], doc[starts[-1]], n[starts[-1]]), len(key)
             held = [key[end:], doc[end:], n[end:]]
 
-    return rows.sortWithinPartitions("key", "doc_id").mapInArrow(run, "a long, b long, na int, nb int, star boolean")
+    return rows.sortWithinPartitions("key", "doc_id").mapInArrow(lean(run), "a long, b long, na int, nb int, star boolean")
 
 
 def _and_end(batches):
@@ -335,7 +335,7 @@ def _verified(pairs: DataFrame, tokens: DataFrame, n: int) -> DataFrame:
     x, y = tokens.toDF("a", "x"), tokens.toDF("b", "y")
     # Pairs grow with the corpus: they are never broadcast, at any size.
     joined = pairs.hint("merge").join(x.hint("merge"), "a").hint("merge").join(y.hint("merge"), "b").select("a", "b", "star", "x", "y")
-    return in_parts(joined, n, PAIRS_A_PART).mapInArrow(run, "a long, b long, star boolean, both long, one long")
+    return in_parts(joined, n, PAIRS_A_PART).mapInArrow(lean(run), "a long, b long, star boolean, both long, one long")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -421,7 +421,7 @@ def _token_sets(docs: DataFrame, words: int) -> DataFrame:
             sets = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), words)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], ["doc_id", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, tokens binary")
+    return docs.mapInArrow(lean(run), "doc_id long, tokens binary")
 
 
 def _open_members(meetings: DataFrame, first_links: DataFrame, roots: DataFrame, several: DataFrame | None = None) -> DataFrame:

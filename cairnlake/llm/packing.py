@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_or_empty
+from .common import Workspace, lean, text_or_empty
 from .tokens import word_ids
 
 #: Texts are encoded so many at a time.
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
             yield pa.RecordBatch.from_arrays([of, *own, row], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
-    return rows.mapInArrow(cut, PIECE)
+    return rows.mapInArrow(lean(cut, "words"), PIECE)
 
 
 def _few_at_a_time(ids, texts):

@@ -15,6 +15,7 @@ import json
 import numpy as np
 import pyarrow as pa
 
+from .common import kept
 from .transducer import LATIN, character_class, latin_pattern
 
 #: Words and pre-tokens whose ids a worker keeps at once, and pre-tokens that are encoded at once.
@@ -24,7 +25,7 @@ ALONE = 3
 LAST = chr(LATIN)
 #: Pre-tokens that are known as such: white space parts them and nothing in them changes.
 _PLAIN = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
-_OPEN: dict[tuple[str, int], "WordIds"] = {}
+_OPEN: dict[tuple[str, int], "WordIds"] = kept("words")
 
 
 def forget_half(memory: dict) -> None:
