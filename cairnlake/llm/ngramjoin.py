@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, in_parts, lean, text_or_empty
+from .common import Workspace, in_parts, lean, small_batches, text_or_empty
 from .components import connected_components, merged_components
 from .shingles import MULTIPLIERS, mixed, shingle_sets
 
@@ -207,7 +207,9 @@ def _hot(keys: DataFrame):
 
     seen = keys.mapInArrow(lean(run), "key long, count long, doc_id long, n int")
     hot = seen.groupBy("key").agg(F.sum("count").alias("count"), F.min(F.struct("doc_id", "n")).alias("leader")).filter(F.col("count") >= HOT)
-    hot = hot.orderBy(F.col("count").desc(), "key").limit(MOST_FREQUENT).select("key", "leader.doc_id", "leader.n").toArrow().sort_by("key")
+    hot = hot.orderBy(F.col("count").desc(), "key").limit(MOST_FREQUENT).select("key", "leader.doc_id", "leader.n")
+    with small_batches(keys.sparkSession):
+        hot = hot.toArrow().sort_by("key")
     return keys.sparkSession.sparkContext.broadcast(tuple(hot[c].to_numpy() for c in ("key", "doc_id", "n")))
 
 

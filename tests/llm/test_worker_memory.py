@@ -51,3 +51,13 @@ def test_what_a_task_took_goes_back_to_the_system():
     pins, before = [], held()
     most = max(common.lean(run)(iter(range(2))))
     assert most > before + 150 and held() < before + 80
+
+
+def test_texts_come_in_batches_of_few_bytes(spark, tmp_path, monkeypatch):
+    """Before, all ten long texts of a task came in one batch."""
+    monkeypatch.setattr(common, "BATCH", 1 << 20)
+    docs = spark.range(10).selectExpr("id doc_id", "repeat('word ', 100000) text").coalesce(1)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+    before = spark.conf.get(common.BATCH_SETTING)
+    got = [r["n"] for r in common.Workspace(spark, "batches").write(docs.mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert sum(got) == 10 and max(got) <= 3 and spark.conf.get(common.BATCH_SETTING) == before
